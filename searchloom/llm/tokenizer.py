@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Parts kept per worker process; the table is emptied when it is full.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 900_000
 #: Longer parts are encoded each time and not kept.
 LONGEST_KEPT = 48
 
@@ -65,32 +65,47 @@ class Encoder:
             self.tk.no_truncation()
             self.tk.no_padding()
             self.parts = _splittable(path)
+            size = self.tk.get_vocab_size()
+            self.is_end = np.array([str(self.tk.id_to_token(i)).endswith("</w>") for i in range(size)])
         self.table: dict[str, bytes] = {"": b""}
-        self.ends: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
 
     def _direct(self, texts: list[str]) -> list[list[int]]:
         if self.sp is not None:
             return self.sp.encode(texts, num_threads=1)
         return [e.ids for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters. They go to the library as one text; every word ends with an end-of-word piece."""
+        ids = np.array(self._direct([" ".join(words)])[0], "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):  # a letter that the library doesn't take for one: each by itself
+            return [np.array(x, "<u4").tobytes() for x in self._direct(words)]
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
+
     def _learn(self, new: set[str]) -> None:
-        """Enter the ids of parts. An ASCII word is looked up in lower case and apart from one mark after it."""
-        plain: dict[str, tuple[str, str]] = {}
+        """Enter the ids of parts. A word is looked up apart from one mark after it, and in lower case if it is ASCII."""
+        table, ends = self.table, self.ends
+        plain, odd, want = [], [], set()
         for p in new:
-            core, end = (p, "") if p[-1].isalnum() else (p[:-1], p[-1])
-            if end in ",.;:!?" and core.isascii() and core.isalpha():
-                plain[p] = (core.lower(), end)
+            core, end = (p[:-1], p[-1]) if p[-1] in ",.;:!?" else (p, "")
+            if core.isalpha():
+                if core.isascii():
+                    core = core.lower()
+                plain.append((p, core, end))
+                if core not in table:
+                    want.add(core)
             else:
-                plain[p] = (p, "")
-        table, ends = self.table, self.ends
-        want = list({c for c, _ in plain.values()} - table.keys())
-        marks = list({e for _, e in plain.values()} - ends.keys())
-        for keys, to in ((want, table), (marks, ends)):
-            for i in range(0, len(keys), 2000):
-                part = keys[i : i + 2000]
-                for k, ids in zip(part, self._direct(part)):
-                    to[k] = np.array(ids, "<u4").tobytes()
-        for p, (core, end) in plain.items():
+                odd.append(p)
+        words = list(want)
+        for i in range(0, len(words), 5000):
+            table.update(zip(words[i : i + 5000], self._words(words[i : i + 5000])))
+        if odd:
+            table.update(zip(odd, (np.array(x, "<u4").tobytes() for x in self._direct(odd))))
+        for p, core, end in plain:
+            if end not in ends:
+                ends[end] = np.array(self._direct([end])[0], "<u4").tobytes()
             table[p] = table[core] + ends[end]
 
     def raw(self, text: str | None) -> bytes:
@@ -103,12 +118,12 @@ class Encoder:
             if c in text:
                 text = text.replace(c, " ")
         parts = text.split(" ")
-        new = set(parts) - self.table.keys()
+        new = set(parts).difference(self.table)
         if not new:
             return b"".join(map(self.table.__getitem__, parts))
         if len(self.table) > TABLE_ENTRIES:
             self.table = {"": b""}
-            new = set(parts) - self.table.keys()
+            new = set(parts).difference(self.table)
         long = {p for p in new if len(p) > LONGEST_KEPT}
         self._learn(new - long)
         if not long:
