@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from searchloom.llm import exact_dedup, language_id, near_dup, packing, token_counts
+from searchloom.llm import embedding_dedup, exact_dedup, language_id, near_dup, packing, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
+        "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
