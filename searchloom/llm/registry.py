@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from searchloom.llm import embedding_dedup, exact_dedup, language_id, near_dup, packing, token_counts
+from searchloom.llm import embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dup, packing, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_source_mixing": mixing.op8_source_mixing,
+        "op9_license_scan": license_scan.op9_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op8_source_mixing": mixing.ORACLE_SQL, "op9_license_scan": license_scan.ORACLE_SQL}
