@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from searchloom.llm import embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dup, packing, token_counts
+from searchloom.llm import embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dup, packing, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_suffix_array_dedup": substring_dedup.op2_suffix_array_dedup,
         "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
         "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
