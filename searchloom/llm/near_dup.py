@@ -8,10 +8,10 @@ and a link is confirmed on the full shingle sets: 100 * |intersection| >= percen
 Scale and skew. Documents with the same set (by a 128-bit digest of the whole set and its size) are one
 class; one representative of each goes on, so thousands of copies cost one row. Within a band's bucket only
 pairs with the bucket's smallest and largest id are formed - linear in the bucket - and confirmed. Then
-connected components are found. Buckets that still hold several components are taken up once more: every
-pair across components whose signatures agree nearly enough is confirmed as well (in row blocks, inside the
-bucket; pairs within a component need no test, as they change nothing). So no link between different texts
-is lost beyond the chance that bands (under 1e-6 at the threshold) or signature agreement (5 sigma) miss it.
+connected components are found. Buckets that still hold several components are taken up once more, with the
+full sets of their members: links across components are confirmed inside the bucket and a spanning forest of
+them is given out (links within a component change nothing and are not tested). So no link between different
+texts is lost beyond the chance, under 1e-6 at the threshold, that no band is shared.
 
 Defined results: null text, or text without words, has an empty set, links with nothing and is its own
 component. Rows that share an id are one document. A row without id links with nothing, has a null
@@ -20,7 +20,6 @@ component and is kept. An empty table gives an empty result. Other columns are n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,14 +69,12 @@ def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 sig = signatures([sets[k] for k in some], bands * rows) if len(some) else np.zeros((0, bands * rows), np.uint32)
                 keys = np.zeros((len(sets), bands), np.int64)
                 keys[some] = band_keys(sig, bands, rows).view(np.int64)
-                whole = np.zeros((len(sets), bands * rows), np.uint32)
-                whole[some] = sig
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(begin, len(sets)), pa.array(n), pa.array(d1), pa.array(d2), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in whole], pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"],
+                    [b.column(0).slice(begin, len(sets)), pa.array(n), pa.array(d1), pa.array(d2), pa.array(list(keys), pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "d1", "d2", "bands"],
                 )
 
-    return docs.mapInArrow(features, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
+    return docs.mapInArrow(features, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -96,22 +93,33 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _across(least: int):
-    """Pairs of a bucket's members, from different components, whose signatures agree in ``least`` coordinates."""
+def _across(percent: int):
+    """Links between components that share a bucket, confirmed on the members' full sets: a spanning forest, so
+    fewer than there are members. Rows of the largest component are only met from the other side."""
 
     def across(t: pa.Table) -> pa.Table:
-        ids, comp, n = (t.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-        out: list[np.ndarray] = []
-        for k in range(len(ids) - 1):
-            rest = k + 1 + np.flatnonzero(comp[k + 1 :] != comp[k])
-            for s in range(0, len(rest), 4096):
-                part = rest[s : s + 4096]
-                hit = part[(sig[part] == sig[k]).sum(1) >= least]
-                if len(hit):
-                    out.append(np.stack([np.minimum(ids[hit], ids[k]), np.maximum(ids[hit], ids[k])]))
-        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
+        sets = t.column("shingles").combine_chunks()
+        begins = sets.offsets.to_numpy()[:-1] - sets.offsets[0].as_py()
+        n = np.diff(sets.offsets.to_numpy())
+        words, place = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        _, label = np.unique(comp, return_inverse=True)
+        outer = np.flatnonzero(label != np.bincount(label).argmax())
+        mark = np.zeros(len(words), np.int64)
+        out: list[tuple[int, int]] = []
+        for k in outer:
+            own = place[begins[k] : begins[k] + n[k]]
+            if (label == label[k]).all():
+                continue
+            mark[own] = 1
+            both = np.add.reduceat(mark[place], begins)
+            mark[own] = 0
+            hits = np.flatnonzero((label != label[k]) & (100 * both >= percent * (n + n[k] - both)))
+            for m in hits:
+                if label[m] != label[k]:
+                    out.append((min(ids[m], ids[k]), max(ids[m], ids[k])))
+                    label[label == label[m]] = label[k]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return across
 
@@ -131,7 +139,7 @@ def near_dup(
         .agg(F.min("doc_id").alias("rep")),
         "classes",
     )
-    reps = feats.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "d1", "d2", "bands", "sig").join(
+    reps = feats.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "d1", "d2", "bands").join(
         classes.select("rep", F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
     )
     members = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
@@ -153,14 +161,10 @@ def near_dup(
     # buckets that still hold several components
     marked = bucketed.select("key", "id", "n_shingles").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    p = percent / 100
-    least = max(1, math.ceil(bands * rows * p - 5 * math.sqrt(bands * rows * p * (1 - p))))
-    unsettled = marked.join(open_keys, "key", "left_semi").join(reps.select("id", "sig"), "id")
-    more = scratch.write(unsettled.groupBy("key").applyInArrow(_across(least), "a long, b long").distinct(), "pairs")
-    if not more.isEmpty():
-        extra = scratch.write(_confirm(more, sets, percent), "links")
-        if not extra.isEmpty():
-            found = scratch.write(connected_components(spark, edges.union(extra), scratch), "components")
+    unsettled = marked.join(open_keys, "key", "left_semi").select("key", "id", "component").join(sets, "id")
+    extra = scratch.write(unsettled.groupBy("key").applyInArrow(_across(percent), "a long, b long").distinct(), "links")
+    if not extra.isEmpty():
+        found = scratch.write(connected_components(spark, edges.union(extra), scratch), "components")
 
     by_class = classes.join(found, classes["rep"] == found["node"], "left").select(
         F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n_shingles").alias("en"), F.coalesce("component", "rep").alias("component_id")
