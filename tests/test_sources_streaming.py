@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from searchloom.operators import index, links, papers
+from searchloom.operators import index, links, papers, search
 from searchloom.sources import readers, writers
 from searchloom.streaming import ingest
 
@@ -79,6 +79,10 @@ def test_barrels_prune(spark, tmp_path, sf_dir):
     writers.barrels(postings, placed, str(tmp_path / "b"))
     back = readers.barrels(spark, str(tmp_path / "b"))
     assert back.count() == postings.count() and placed.select("barrel_id").distinct().count() > 1
+    queries = spark.createDataFrame([(1, "the and"), (2, "nosuchword")], "qid int, query string")
+    found = search.lookup(queries, placed, back)
+    assert {r.word for r in found.collect()} == {"the", "and"}
+    assert found.count() == postings.where("word in ('the', 'and')").count()
     plan = back.where("barrel_id = 1 and word = 'the'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(barrel_id" in plan and "PushedFilters: [IsNotNull(word), EqualTo(word,the)]" in plan
 
