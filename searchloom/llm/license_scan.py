@@ -34,7 +34,8 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """license_id, digest of each known text, brought to canonical form by the same functions."""
-    known = spark.createDataFrame(KNOWN, "license_id string, text string")
+    texts = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN])
+    known = spark.range(1).select(F.inline(texts))
     return known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
