@@ -17,6 +17,7 @@ PAPER_TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 MARK = "\x01"  # stands for a kept punctuation mark while others are dropped
 QUERY_PUNCT = rf"[^\p{{L}}\p{{N}}_\x01{SPACES}]"
 BRACKETS = r"[,()\[\]{}]"
+BRACKETED = r"\(.*?\)|\[.*?\]|\{.*?\}|<.*?>"
 
 COMMENT, SCRIPT, STYLE, TAG = r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<[^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
@@ -113,11 +114,9 @@ def url_tokens(url: Column) -> Column:
 
 
 def normalise_title(title: Column) -> Column:
-    """Lower case, bracketed parts dropped, letters a-z only, single spaces."""
-    t = F.lower(F.coalesce(title, F.lit("")))
-    for pattern in (r"\(.*?\)", r"\[.*?\]", r"\{.*?\}", r"<.*?>", r"[^a-z ]+"):
-        t = F.regexp_replace(t, pattern, "" if pattern != r"[^a-z ]+" else " ")
-    return F.trim(F.regexp_replace(t, " +", " "))
+    """Lower case, letters a-z only, bracketed parts and all other characters as spaces, single spaces."""
+    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), BRACKETED, " ")
+    return F.trim(F.regexp_replace(t, "[^a-z]+", " "))
 
 
 def clean_title(title: Column) -> Column:

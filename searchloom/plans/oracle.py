@@ -81,10 +81,7 @@ def path(e: str) -> str:
 
 
 def normalise_title(e: str) -> str:
-    e = f"lower(coalesce({e}, ''))"
-    for p in (r"\(.*?\)", r"\[.*?\]", r"\{.*?\}", r"<.*?>"):
-        e = gsub(e, p, "")
-    return f"trim({gsub(gsub(e, '[^a-z ]+', ' '), ' +', ' ')})"
+    return f"trim({gsub(gsub(f'lower(coalesce({e}, {q('')}))', T.BRACKETED, ' '), '[^a-z]+', ' ')})"
 
 
 def clean_title(e: str) -> str:

@@ -68,10 +68,10 @@ def test_html(spark):
 
 def test_titles(spark):
     t = F.col("t")
-    rows = [("COVID-19 (SARS-CoV-2): A [Review], 2020",), ("Étude of the <i>virus</i>",), ("Short. The longest part, tail",), (None,)]
+    rows = [("COVID-19 (SARS-CoV-2): A [Review], 2020",), ("Étude of the <i>virus</i>",), ("Short. The longest part, tail",), (None,), ("[a (b] c) d(e)f",)]
     got = one(spark, "t string", rows, T.normalise_title(t), T.clean_title(t))
     assert [g[0] for g in got[:2]] == ["covid a", "tude of the virus"]
-    assert got[2][1] == "The longest part" and got[3] == ("", "")
+    assert got[2][1] == "The longest part" and got[3] == ("", "") and got[4][0] == "c d f"
 
 
 def test_urls(spark):
