@@ -47,8 +47,8 @@ class Limits:
 
     task_classes: int = 4  #: classes of one anchor that a task deals by anchor; beyond, windows are dealt one by one
     sort_classes: int = 500  #: classes of one anchor that one suffix sort takes
-    flush_runs: int = 1_000_000  #: runs that a scan task combines at a time
-    group_bytes: int = 1 << 20  #: text hashed at a time
+    flush_runs: int = 250_000  #: runs that a scan task combines at a time
+    group_bytes: int = 1 << 19  #: text hashed at a time
     bucket_bytes: int = 4 << 20  #: estimated input bytes for each bucket
     least_buckets: int = 64
 
@@ -97,9 +97,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def _leftmost(grams: np.ndarray, least: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """The first place of the least k-gram of the windows at ``starts``."""
     at = np.empty(len(starts), np.int64)
-    for i in range(0, len(starts), 50_000):
-        part = starts[i : i + 50_000]
-        at[i : i + 50_000] = part + (grams[part[:, None] + np.arange(width)] == least[part][:, None]).argmax(1)
+    for i in range(0, len(starts), 20_000):
+        part = starts[i : i + 20_000]
+        at[i : i + 20_000] = part + (grams[part[:, None] + np.arange(width)] == least[part][:, None]).argmax(1)
     return at
 
 
@@ -413,10 +413,10 @@ def repeated_windows(rows: np.ndarray, length: int) -> np.ndarray:
     equal = np.flatnonzero((group[sort[:-1]] == group[sort[1:]]) & (order.common(x, y) == length))
     # equal hashes, now the bytes themselves
     same = np.zeros(len(equal), bool)
-    for i in range(0, len(equal), 100_000):
-        part = equal[i : i + 100_000]
+    for i in range(0, len(equal), 20_000):
+        part = equal[i : i + 20_000]
         step = np.arange(length)
-        same[i : i + 100_000] = (buffer[x[part][:, None] + step] == buffer[y[part][:, None] + step]).all(1)
+        same[i : i + 20_000] = (buffer[x[part][:, None] + step] == buffer[y[part][:, None] + step]).all(1)
     later = sort[1:][equal[same]]
     r = rows[row[later]]
     s = r["p"] - r["a"] + off[later]
@@ -483,7 +483,7 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, limit
     settled = scratch.write(long_docs.mapInArrow(_scan(length, gram, buckets, limits), PACKED).groupBy("bucket").applyInArrow(_by_anchor(length, buckets, limits), PACKED), "settled")
 
     asks = settled.where(F.col("kind").isin(ASK_BYTES, ASK_WINDOWS)).mapInArrow(_asked, "g_doc long, g_tk int, ask binary").groupBy("g_doc", "g_tk").agg(F.collect_list("ask").alias("asks"))
-    answer, piece = _answer(length, buckets, buckets)
+    answer, piece = _answer(length, buckets, 4 * buckets)  # a sort's bucket is a quarter of a scan's: it takes more memory a byte
     asked = long_docs.join(asks, (F.col("doc_id") == F.col("g_doc")) & (F.col("tk") == F.col("g_tk"))).select("t", "asks")
     answers = scratch.write(asked.mapInArrow(answer, PACKED), "answers")
     sorted_spans = answers.where(F.col("kind") == ASK_BYTES).groupBy("bucket").applyInArrow(_suffix_sort(length, piece), PACKED)
