@@ -8,10 +8,11 @@ and a link is confirmed on the full shingle sets: 100 * |intersection| >= percen
 Scale and skew. Documents with the same set (by a 128-bit digest of the whole set and its size) are one
 class; one representative of each goes on, so thousands of copies cost one row. Within a band's bucket only
 pairs with the bucket's smallest and largest id are formed - linear in the bucket - and confirmed. Then
-connected components are found. Buckets that still hold several components are taken up once more, with the
-full sets of their members: links across components are confirmed inside the bucket and a spanning forest of
-them is given out (links within a component change nothing and are not tested). So no link between different
-texts is lost beyond the chance, under 1e-6 at the threshold, that no band is shared.
+connected components are found. Buckets that still hold several components are taken up once more: of members
+whose signatures agree nearly enough with one of another component, the full sets are compared inside the bucket,
+and a spanning forest of the links across components is given out (links within a component change nothing and
+are not tested). So no link between different texts is lost beyond the chance, under 1e-6 at the threshold, that
+no band is shared or that signatures agree in fewer coordinates than expected by 5 standard deviations.
 
 Defined results: null text, or text without words, has an empty set, links with nothing and is its own
 component. Rows that share an id are one document. A row without id links with nothing, has a null
@@ -20,6 +21,7 @@ component and is kept. An empty table gives an empty result. Other columns are n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,12 +71,14 @@ def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 sig = signatures([sets[k] for k in some], bands * rows) if len(some) else np.zeros((0, bands * rows), np.uint32)
                 keys = np.zeros((len(sets), bands), np.int64)
                 keys[some] = band_keys(sig, bands, rows).view(np.int64)
+                short = np.zeros((len(sets), bands * rows), np.uint8)  # a byte of each coordinate: enough to tell far from near
+                short[some] = sig & np.uint32(255)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(begin, len(sets)), pa.array(n), pa.array(d1), pa.array(d2), pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "d1", "d2", "bands"],
+                    [b.column(0).slice(begin, len(sets)), pa.array(n), pa.array(d1), pa.array(d2), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(features, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(features, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -93,6 +97,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _plausible(least: int):
+    """Members of a bucket that agree with one of another component in ``least`` coordinates or more."""
+
+    def plausible(t: pa.Table) -> pa.Table:
+        _, label = np.unique(t.column("component").to_numpy(), return_inverse=True)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(label), -1)
+        near = np.zeros(len(label), bool)
+        for k in np.flatnonzero(label != np.bincount(label).argmax()):
+            hit = (label != label[k]) & ((sig == sig[k]).sum(1) >= least)
+            near |= hit
+            near[k] |= hit.any()
+        return t.select(["key", "id", "component"]).filter(pa.array(near))
+
+    return plausible
+
+
 def _across(percent: int):
     """Links between components that share a bucket, confirmed on the members' full sets: a spanning forest, so
     fewer than there are members. Rows of the largest component are only met from the other side."""
@@ -139,7 +159,7 @@ def near_dup(
         .agg(F.min("doc_id").alias("rep")),
         "classes",
     )
-    reps = feats.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "d1", "d2", "bands").join(
+    reps = feats.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "d1", "d2", "bands", "sig").join(
         classes.select("rep", F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
     )
     members = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
@@ -161,7 +181,10 @@ def near_dup(
     # buckets that still hold several components
     marked = bucketed.select("key", "id", "n_shingles").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    unsettled = marked.join(open_keys, "key", "left_semi").select("key", "id", "component").join(sets, "id")
+    p = percent / 100
+    least = max(1, math.ceil(bands * rows * p - 5 * math.sqrt(bands * rows * p * (1 - p))))
+    unsettled = marked.join(open_keys, "key", "left_semi").join(reps.select("id", "sig"), "id").select("key", "id", "component", "sig")
+    unsettled = unsettled.groupBy("key").applyInArrow(_plausible(least), "key long, id long, component long").join(sets, "id")
     extra = scratch.write(unsettled.groupBy("key").applyInArrow(_across(percent), "a long, b long").distinct(), "links")
     if not extra.isEmpty():
         found = scratch.write(connected_components(spark, edges.union(extra), scratch), "components")
