@@ -7,10 +7,9 @@ a pair at the threshold is met with a probability of ``recall`` or more at every
 
 Scale and skew. Equal directions are one row with a weight. A pass is a range-partitioned sort with the
 vector's id as the last sort key, so a crowd of like vectors is spread over partitions; the rows on either
-side of a partition's border are compared in a second, bounded step. Crowds larger than a window are counted
-without forming their pairs: vectors that tight links join are held against one leader, and those within
-half the threshold's angle of it are a class, in which every two vectors are linked by the triangle
-inequality. Their number of links is the class's size; links across classes are those that passes found.
+side of a partition's border are compared in a second, bounded step. Links are then counted over whole
+components: every two members are compared in double precision, block by block, so the count does not depend
+on windows; that work is quadratic in a component's distinct directions.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing.
 Vectors of different lengths link with nothing. Repeated rows are separate vectors. A row without id links
@@ -26,13 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm.common import Scratch, connected_components
 
 BITS = 64
 ROWS_PER_TASK = 20_000
+BLOCK = 1024
 
 
 def passes_for(n: int, window: int, threshold: float, recall: float, least: int = 8) -> int:
@@ -161,15 +161,59 @@ def _border_pairs(window: int, threshold: float):
     return pairs
 
 
-def _cosine(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with a column cosine of the units ua and ub."""
-
-    def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cos = [float(np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64)) if len(x) == len(y) else -1.0 for x, y in zip(b.column("ua").to_pylist(), b.column("ub").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("leader"), pa.array(cos, pa.float64())], ["node", "leader", "cosine"])
-
-    return pairs.select("node", "leader", "ua", "ub").mapInArrow(cosine, "node long, leader long, cosine double")
+def _tasks(rows: DataFrame, keys: list[str], size: Column, extra: list[str]) -> DataFrame:
+    """Rows dealt so that every two rows of a group of ``size`` rows meet in one task (``keys``, i, j) of at most about two blocks."""
+    blocks = F.ceil(size / BLOCK).cast("long")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select(*keys, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("second"), "id", *extra, "unit")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Sorted rows as tables of whole groups, with the places where groups begin and the end."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if t.num_rows == 0:
+            continue
+        change = np.zeros(t.num_rows - 1, bool)
+        for c in keys:
+            v = t.column(c).to_numpy()
+            change |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        if len(cuts) > 1:
+            yield t, cuts
+        held = t.slice(cuts[-1])
+    if held is not None:
+        yield held, [0, held.num_rows]
+
+
+def _blocks(t: pa.Table, cuts: list[int]) -> Iterator[tuple[slice, int, np.ndarray]]:
+    """(rows, number of the first block's rows or -1 where the block is compared with itself, cosines) of each group."""
+    raw, second = t.column("unit").to_pylist(), t.column("second").to_numpy()
+    same = t.column("i").to_numpy() == t.column("j").to_numpy()
+    for s, e in zip(cuts, cuts[1:]):
+        m = e - s - int(second[s:e].sum())
+        if e - s < 2 or (not same[s] and m in (0, e - s)):
+            continue
+        x = np.frombuffer(b"".join(raw[s:e]), np.float64).reshape(e - s, -1)
+        yield slice(s, e), -1 if same[s] else m, x @ x.T if same[s] else x[:m] @ x[m:].T
+
+
+def _count(threshold: float):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _groups(batches, ["component", "i", "j"]):
+            ids, weight = t.column("id").to_numpy(), t.column("weight").to_numpy().astype(np.float64)
+            out_id, out_n = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for rows, m, cos in _blocks(t, cuts):
+                hit, w = (cos >= threshold).astype(np.float64), weight[rows]
+                if m < 0:
+                    np.fill_diagonal(hit, 0)
+                out_id.append(ids[rows])
+                out_n.append(hit @ w if m < 0 else np.concatenate([hit @ w[m:], w[:m] @ hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_n).astype(np.int64))], ["id", "n"])
+
+    return count
 
 
 def embedding_dedup(
@@ -192,31 +236,16 @@ def embedding_dedup(
     across = rows.groupBy("edge").applyInArrow(_border_pairs(window, threshold), "a long, b long, cosine double")
     links = scratch.write(swept.where("a is not null").select("a", "b", "cosine").union(across).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "links")
 
-    # classes: all within half the angle of one leader, so all linked to each other
-    tight = math.cos(math.acos(threshold) / 2) + 1e-9
-    crowds = scratch.write(connected_components(spark, links.where(F.col("cosine") >= tight).select("a", "b"), scratch), "crowds")
-    units = reps.select("id", "unit")
-    held = _cosine(
-        crowds.withColumnRenamed("component", "leader")
-        .join(units.select(F.col("id").alias("node"), F.col("unit").alias("ua")), "node")
-        .join(units.select(F.col("id").alias("leader"), F.col("unit").alias("ub")), "leader")
-    )
-    member = reps.select("id", "weight").join(held.where(F.col("cosine") >= tight).select(F.col("node").alias("id"), "leader"), "id", "left").select(
-        "id", "weight", F.coalesce("leader", "id").alias("class")
-    )
-    member = scratch.write(member, "classes")
-    sizes = member.groupBy("class").agg(F.sum("weight").alias("class_size"))
-    side = lambda s, o: (
-        links.select(F.col("a").alias(s), F.col("b").alias(o))
-        .join(member.select(F.col("id").alias("a"), F.col("class").alias("ca"), F.col("weight").alias("wa")), "a")
-        .join(member.select(F.col("id").alias("b"), F.col("class").alias("cb"), F.col("weight").alias("wb")), "b")
-        .where("ca <> cb").select(F.col("a").alias("id"), F.col("wb").alias("w"))
-    )
-    beyond = side("a", "b").union(side("b", "a")).groupBy("id").agg(F.sum("w").alias("beyond"))
-    comps = connected_components(spark, links.select("a", "b"), scratch)
+    # every two members of a component are compared
+    comps = scratch.write(connected_components(spark, links.select("a", "b"), scratch), "components")
+    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    members = comps.join(sizes, "component").join(reps.select(F.col("id").alias("node"), "weight", "unit"), "node").withColumnRenamed("node", "id")
+    deal = ["component", "i", "j"]
+    met = _tasks(members, ["component"], F.col("members"), ["weight"]).repartition(*deal).sortWithinPartitions(*deal, "second", "id")
+    counted = met.mapInArrow(_count(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("beyond"))
     stats = (
-        member.join(sizes, "class").join(beyond, "id", "left").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select("id", (F.col("class_size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        reps.select("id", "weight").join(counted, "id", "left").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
+        .select("id", (F.col("weight") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     by_digest = reps.select("digest", "id").join(stats, "id").select(F.col("digest").alias("k"), "n_links", "component_id")
     linked = linkable.select("vec_id", "digest").join(by_digest, F.col("digest") == F.col("k")).select("vec_id", "n_links", "component_id")

@@ -52,6 +52,22 @@ def test_odd_vectors_and_crowds(spark, monkeypatch):
     assert ed.embedding_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def crowd(rng, n, cosine, dim=64):
+    """Vectors of about ``cosine`` to each other."""
+    base = rng.standard_normal(dim)
+    x = rng.standard_normal((n, dim))
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    return np.sqrt(cosine) * unit(base) + np.sqrt(1 - cosine) * unit(x - np.outer(x @ unit(base), unit(base)))
+
+
+def test_links_of_a_loose_crowd(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 50, raising=False)
+    rng = np.random.default_rng(9)
+    vecs = [*rng.standard_normal((100, 64)), *crowd(rng, 250, 0.96)]
+    ids = [int(i) for i in rng.permutation(len(vecs))]
+    check(spark, [*ids, 999], [v.tolist() for v in [*vecs, vecs[-1]]])
+
+
 def test_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     out = {r.vec_id: r for r in ed.op10_embedding_near_dedup(spark, sf_dir).collect()}
