@@ -1,15 +1,16 @@
-"""Near duplicates of vectors by sorted projection passes.
+"""Near duplicates of vectors by buckets of sign prefixes.
 
-A pass orders all vectors lexicographically by 64 concatenated sign hashes of random projections and compares
-each with the ``window`` that follow it; pairs of cosine >= ``threshold`` in double precision are links. Several
-passes with fresh projections are united. The number of passes follows from the number of vectors, so that
-a pair at the threshold is met with a probability of ``recall`` or more at every size.
+A pass signs all vectors by fresh random projections and compares every two that share the first ``bits`` signs,
+a bucket; pairs of cosine >= ``threshold`` in double precision are links. Several passes are united. A pair at the
+threshold shares a sign with the probability 1 - angle / pi whatever the other vectors are, so the number of
+passes that ``recall`` asks for follows from ``bits`` alone and holds in dense topics as elsewhere.
 
-Scale and skew. Equal directions are one row with a weight. A pass is a range-partitioned sort with the
-vector's id as the last sort key, so a crowd of like vectors is spread over partitions; the rows on either
-side of a partition's border are compared in a second, bounded step. Links are then counted over whole
-components: every two members are compared in double precision, block by block, so the count does not depend
-on windows; that work is quadratic in a component's distinct directions.
+Scale and skew. Equal directions are one row with a weight. ``bits`` leaves about ``window`` rows in a bucket where
+vectors are spread evenly. A vector whose buckets all hold at most ``BLOCK`` rows has then met its partners.
+The others, of dense topics, go on to more bits and the more passes these need, for as long as that shrinks the
+work; at the end large buckets are compared whole, in blocks dealt to many tasks. A bucket gives a star of
+its linked rows, not its pairs. Links are then counted over whole components: every two members are compared in
+double precision, block by block; that work is quadratic in a component's distinct directions.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing.
 Vectors of different lengths link with nothing. Repeated rows are separate vectors. A row without id links
@@ -24,21 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm.common import Scratch, connected_components
 
-BITS = 64
+MAX_BITS = 60
+MORE_BITS = 4
+MAX_PASSES = 128
+BUCKET = ["dim", "pass", "prefix"]
 ROWS_PER_TASK = 20_000
 BLOCK = 1024
 
 
-def passes_for(n: int, window: int, threshold: float, recall: float, least: int = 8) -> int:
-    """Passes after which a pair at the threshold has been within a window with probability ``recall``."""
-    agree = 1 - math.acos(threshold) / math.pi
-    p = agree ** max(1.0, math.log2(max(2, n / window)))
+def passes_for(bits: int, threshold: float, recall: float, least: int = 8) -> int:
+    """Passes after which a pair at the threshold has shared ``bits`` signs with probability ``recall``."""
+    p = (1 - math.acos(threshold) / math.pi) ** bits
     return max(least, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
@@ -64,101 +66,27 @@ def _directions(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(directions, "vec_id long, digest binary, unit binary")
 
 
-def _keyed(reps: DataFrame, passes: int) -> DataFrame:
-    """Each vector once for each pass, with its sort key of that pass."""
+def _keyed(reps: DataFrame, bits: int, passes: int) -> DataFrame:
+    """Each vector with its sign prefix of every pass."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[tuple[int, int], np.ndarray] = {}
+        made: dict[int, np.ndarray] = {}
+        place = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             ids, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
             size = np.array([len(r) // 8 for r in raw])
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 x = np.frombuffer(b"".join([raw[k] for k in at]), np.float64).reshape(len(at), d)
-                for p in range(passes):
-                    if (d, p) not in made:
-                        made[d, p] = np.random.default_rng([int(d), p, 77]).standard_normal((d, BITS))
-                    bits = np.packbits(x @ made[d, p] > 0, axis=1)
-                    key = np.frombuffer(bits.tobytes(), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), d, np.int32)), pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array([raw[k] for k in at], pa.binary())],
-                        ["pass", "dim", "key", "id", "unit"],
-                    )
-
-    return reps.mapInArrow(keyed, "pass int, dim int, key long, id long, unit binary")
-
-
-SWEPT = "border long, pass int, dim int, id long, unit binary, a long, b long, cosine double"
-
-
-def _window_pairs(ids: np.ndarray, group: np.ndarray, units: list[bytes], window: int, threshold: float, new_from: int = 0, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (k, k + s), s up to ``window``, of one pass and length; of those, the ones whose second is at or after ``new_from``."""
-    out_a, out_b, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for g in np.unique(group):
-        at = np.flatnonzero(group == g)
-        x = np.frombuffer(b"".join([units[k] for k in at]), np.float64).reshape(len(at), -1)
-        for s in range(1, min(window, len(at) - 1) + 1):
-            second = at[s:]
-            ok = second >= new_from
-            if cross is not None:
-                ok = ok & (cross[at[:-s]] != cross[second])
-            if not ok.any():
-                continue
-            cos = np.einsum("ij,ij->i", x[:-s], x[s:])
-            hit = np.flatnonzero(ok & (cos >= threshold))
-            i, j = ids[at[hit]], ids[second[hit]]
-            out_a.append(np.minimum(i, j))
-            out_b.append(np.maximum(i, j))
-            out_c.append(cos[hit])
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
-
-
-def _sweep(window: int, threshold: float):
-    """Over one sorted partition: linked pairs within the window, and the first and last rows for its borders."""
-
-    def none(n: int, kind: pa.DataType) -> pa.Array:
-        return pa.nulls(n, kind)
-
-    def borders(border: int, rows: list[tuple]) -> pa.RecordBatch:
-        n = len(rows)
-        p, d, i, u = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([border] * n, pa.int64()), pa.array(p, pa.int32()), pa.array(d, pa.int32()), pa.array(i, pa.int64()), pa.array(u, pa.binary()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64())],
-            [x.split()[0] for x in SWEPT.split(", ")],
-        )
-
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        head: list[tuple] = []
-        kept: list[tuple] = []
-        for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("pass", "dim", "id", "unit"))))
-            head += rows[: max(0, window - len(head))]
-            own = kept + rows
-            group = np.array([(r[0] << 20) | r[1] for r in own], np.int64)
-            a, c, cos = _window_pairs(np.array([r[2] for r in own], np.int64), group, [r[3] for r in own], window, threshold, len(kept))
-            n = len(a)
-            yield pa.RecordBatch.from_arrays(
-                [none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.binary()), pa.array(a), pa.array(c), pa.array(cos)],
-                [x.split()[0] for x in SWEPT.split(", ")],
-            )
-            kept = own[-window:]
-        # border k lies between partitions k - 1 and k; of its rows, those before it have an odd number
-        yield borders(2 * part, head)
-        yield borders(2 * (part + 1) + 1, kept)
-
-    return sweep
-
-
-def _border_pairs(window: int, threshold: float):
-    def pairs(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("before", "descending"), ("place", "ascending")])
-        group = (t.column("pass").to_numpy().astype(np.int64) << 20) | t.column("dim").to_numpy()
-        # the rows before a border are fewer than a window from its end: align by comparing only across it
-        a, b, cos = _window_pairs(t.column("id").to_numpy(), group, t.column("unit").to_pylist(), window, threshold, 0, t.column("before").to_numpy(zero_copy_only=False))
-        return pa.table({"a": a, "b": b, "cosine": cos})
-
-    return pairs
+                if d not in made:
+                    made[d] = np.concatenate([np.random.default_rng([int(d), p, 77]).standard_normal((bits, d)) for p in range(passes)]).T
+                prefix = ((x @ made[d] > 0).reshape(len(at), passes, bits) * place).sum(axis=2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), d, np.int32)), pa.array(ids[at]), pa.array([raw[k] for k in at], pa.binary()), pa.array(list(prefix), pa.list_(pa.int64()))],
+                    ["dim", "id", "unit", "prefix"],
+                )
+
+    return reps.select("id", "unit").mapInArrow(keyed, "dim int, id long, unit binary, prefix array<long>")
 
 
 def _tasks(rows: DataFrame, keys: list[str], size: Column, extra: list[str]) -> DataFrame:
@@ -216,6 +144,79 @@ def _count(threshold: float):
     return count
 
 
+def _heads(hit: np.ndarray) -> np.ndarray:
+    """Of each row of a symmetric matrix of links, the first row it is connected with."""
+    head = np.full(len(hit), -1)
+    for k in range(len(hit)):
+        new = [k] if head[k] < 0 else []
+        while len(new):
+            head[new] = k
+            new = np.flatnonzero(hit[new].any(axis=0) & (head < 0))
+    return head
+
+
+def _stars(threshold: float):
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _groups(batches, BUCKET + ["i", "j"]):
+            ids = t.column("id").to_numpy()
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for rows, m, cos in _blocks(t, cuts):
+                hit = cos >= threshold
+                if m < 0:
+                    np.fill_diagonal(hit, False)
+                if not hit.any():
+                    continue
+                if m >= 0:
+                    hit = np.block([[np.zeros((m, m), bool), hit], [hit.T, np.zeros((hit.shape[1],) * 2, bool)]])
+                at = np.flatnonzero(hit.any(axis=0))
+                own = ids[rows][at]
+                first = own[_heads(hit[np.ix_(at, at)])]
+                out_a.append(np.minimum(own, first)[own != first])
+                out_b.append(np.maximum(own, first)[own != first])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    return stars
+
+
+def _links(reps: DataFrame, n: int, window: int, threshold: float, recall: float, scratch: Scratch) -> DataFrame:
+    """Stars (a, b) that join what linked pairs join."""
+
+    def level(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, float]:
+        keyed = scratch.write(_keyed(rows, bits, passes_for(bits, threshold, recall)), "keyed")
+        sizes = keyed.select("dim", F.posexplode("prefix").alias("pass", "prefix")).groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("size"))
+        large = scratch.write(sizes.where(F.col("size") > BLOCK), "large")
+        return keyed, large, large.agg(F.sum(F.col("size").cast("double") ** 2)).first()[0] or 0.0
+
+    def compared(keyed: DataFrame, large: DataFrame, whole: bool) -> DataFrame:
+        rows = keyed.select("dim", "id", "unit", F.posexplode("prefix").alias("pass", "prefix"))
+        rows = rows.join(large, BUCKET, "left") if work else rows.withColumn("size", F.lit(None).cast("long"))
+        rows = rows.withColumn("size", F.coalesce("size", F.lit(1))) if whole else rows.where("size is null").withColumn("size", F.lit(1))
+        deal = [*BUCKET, "i", "j"]
+        parts = max(1, -(-n * passes_for(bits, threshold, recall) // ROWS_PER_TASK))
+        met = _tasks(rows, BUCKET, F.col("size"), []).repartition(parts, *deal).sortWithinPartitions(*deal, "second", "id")
+        return scratch.write(met.mapInArrow(_stars(threshold), "a long, b long").distinct(), "stars")
+
+    bits = max(1, min(MAX_BITS, int(math.log2(max(2, n / window)))))
+    keyed, large, work = level(reps, bits)
+    found = []
+    while work:
+        # rows whose buckets are all small are done with this level's passes
+        more = bits + MORE_BITS
+        if more > MAX_BITS or passes_for(more, threshold, recall) > MAX_PASSES:
+            break
+        held = keyed.select("dim", "id", F.posexplode("prefix").alias("pass", "prefix")).join(large, BUCKET, "left_semi").select("id").distinct()
+        deeper = level(keyed.select("id", "unit").join(held, "id"), more)
+        if deeper[2] > 0.8 * work:
+            break
+        found.append(compared(keyed, large, False))
+        (keyed, large, work), bits = deeper, more
+    found.append(compared(keyed, large, True))
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
 def embedding_dedup(
     df: DataFrame, threshold: float = 0.95, window: int = 32, recall: float = 0.995, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
@@ -226,18 +227,10 @@ def embedding_dedup(
     linkable = vectors.where("digest is not null and vec_id is not null")
     reps = scratch.write(linkable.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit")), "directions")
     n = reps.count()
-    passes = passes_for(n, window, threshold, recall)
-    parts = max(1, -(-n * passes // ROWS_PER_TASK))
-    ordered = _keyed(reps.select("id", "unit"), passes).repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
-    swept = scratch.write(ordered.mapInArrow(_sweep(window, threshold), SWEPT), "swept")
-    rows = swept.where("border is not null").select(
-        (F.col("border") - (F.col("border") % 2)).alias("edge"), (F.col("border") % 2 == 1).alias("before"), F.monotonically_increasing_id().alias("place"), "pass", "dim", "id", "unit"
-    )
-    across = rows.groupBy("edge").applyInArrow(_border_pairs(window, threshold), "a long, b long, cosine double")
-    links = scratch.write(swept.where("a is not null").select("a", "b", "cosine").union(across).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "links")
+    links = _links(reps, n, window, threshold, recall, scratch)
 
     # every two members of a component are compared
-    comps = scratch.write(connected_components(spark, links.select("a", "b"), scratch), "components")
+    comps = scratch.write(connected_components(spark, links, scratch), "components")
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     members = comps.join(sizes, "component").join(reps.select(F.col("id").alias("node"), "weight", "unit"), "node").withColumnRenamed("node", "id")
     deal = ["component", "i", "j"]

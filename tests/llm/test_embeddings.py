@@ -1,6 +1,7 @@
 """Sorted projection passes against brute force."""
 
 import numpy as np
+import pytest
 
 from searchloom.llm import embedding_dedup as ed
 
@@ -68,6 +69,25 @@ def test_links_of_a_loose_crowd(spark, monkeypatch):
     check(spark, [*ids, 999], [v.tolist() for v in [*vecs, vecs[-1]]])
 
 
+def planted(rng, n, topic, pairs):
+    """Vectors of which a third are of one topic at ``topic`` to each other, ``pairs`` of these with a partner at 0.955."""
+    vecs = np.concatenate([rng.standard_normal((n - n // 3, 64)), crowd(rng, n // 3, topic)])
+    of = vecs[n - pairs :] / np.linalg.norm(vecs[n - pairs :], axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, 64))
+    side -= (side * of).sum(axis=1, keepdims=True) * of
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return np.concatenate([vecs, 0.955 * of + np.sqrt(1 - 0.955**2) * side]).tolist()
+
+
+@pytest.mark.parametrize("block", [1024, 60])
+def test_pairs_in_a_dense_topic(spark, monkeypatch, block):
+    monkeypatch.setattr(ed, "BLOCK", block)
+    vecs = planted(np.random.default_rng(12), 3000, 0.81, 400)
+    df = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in enumerate(vecs)], SCHEMA).repartition(3)
+    comp = {r.vec_id: r.component_id for r in ed.embedding_dedup(df, window=8).collect()}
+    assert sum(comp[3000 - 400 + k] == comp[3000 + k] for k in range(400)) >= 0.99 * 400
+
+
 def test_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     out = {r.vec_id: r for r in ed.op10_embedding_near_dedup(spark, sf_dir).collect()}
