@@ -5,7 +5,9 @@ sides, longest increasing run of them, then the gaps between, extended over equa
 common block of ``min_words`` words or more is deleted from the later document, the one of the larger id.
 
 Pairs come from shared lines: every holder of a line is paired with the line's first holder, and where the
-line is rare (at most ``rare_df`` documents) also with the holder before it. So the number of pairs is linear
+line is rare (at most ``rare_df`` documents) also with the holder before it. Runs of lines that just reach
+``min_words``, from each line on and up to each line, count as lines here, so every line of a common block lies
+in a run whose first holder is a partner. So the number of pairs is linear
 in the lines however common one of them is, and no line is left out for being common. Only arrays of line
 hashes travel to the alignment, not texts.
 
@@ -87,20 +89,34 @@ def common_blocks(later: list[int], earlier: list[int], words: list[int], min_wo
     return removed
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def run_hashes(hashes: np.ndarray, words: list[int], min_words: int) -> list[int]:
+    """Hashes of the shortest runs of ``min_words`` words or more from each line on and up to each line; single lines only where they are too short to link."""
+    import xxhash
+
+    upto = np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(upto, upto[:-1] + min_words, "left")
+    starts = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    runs = {(s, e) for s, e in enumerate(ends.tolist()) if e < len(upto)} | {(s, e) for e, s in enumerate(starts.tolist(), 1) if s >= 0}
+    raw = hashes.tobytes()
+    found = {xxhash.xxh3_64_intdigest(raw[8 * s : 8 * e], e - s) for s, e in runs if e - s > 1 or min_words < LINK_WORDS}
+    return np.array(list(found), np.uint64).view(np.int64).tolist()
+
+
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            hashes, words = [], []
+            hashes, words, runs = [], [], []
             for t in b.column(2):
                 cut = [line.split() for line in (t.as_py() or "").split("\n")]
                 hashes.append(np.array([digest(" ".join(w)) for w in cut], np.uint64).view(np.int64))
                 words.append([len(w) for w in cut])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "tk", "hashes", "words"])
+                runs.append(run_hashes(hashes[-1], words[-1], min_words))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "tk", "hashes", "words", "runs"])
 
-    return docs.mapInArrow(lines, "doc_id long, tk long, hashes array<long>, words array<int>")
+    return docs.mapInArrow(lines, "doc_id long, tk long, hashes array<long>, words array<int>, runs array<long>")
 
 
 def _align(min_words: int):
@@ -118,10 +134,10 @@ def removed_lines(df: DataFrame, min_words: int = 10, rare_df: int = 64, id_col:
     """doc_id, tk, removed_lines of the texts that lose a line; tk is xxhash64 of the text."""
     scratch = Scratch(df.sparkSession, "line-dedup")
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(clean_text(F.col(text_col))).alias("tk"), clean_text(F.col(text_col)).alias("t"))
-    lines = scratch.write(_lines(docs), "lines")
+    lines = scratch.write(_lines(docs, min_words), "lines")
     # distinct inside a document natively, so a document's repeated line counts once
     link = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= LINK_WORDS), lambda x: x["hashes"]))
-    held = lines.select("doc_id", F.explode(link).alias("h"))
+    held = lines.select("doc_id", F.explode(F.array_union(link, "runs")).alias("h"))
     first = held.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("first <> last").select(F.col("h").alias("k"), "first", "df")
     shared = scratch.write(held.join(first, F.col("h") == F.col("k")).select("h", "doc_id", "first", "df"), "shared")
     stars = shared.where("doc_id <> first").select(F.col("doc_id").alias("later"), F.col("first").alias("earlier"))

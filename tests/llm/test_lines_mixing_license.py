@@ -61,6 +61,37 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(frame(spark, [])).collect() == []
 
 
+def test_blocks_of_short_lines(spark):
+    line = lambda c, n=6: " ".join(f"{c}{k}" for k in range(n))
+    data = [(1, line("a") + "\n" + line("f")), (2, line("b") + "\n" + line("g")), (3, line("a") + "\n" + line("b")), (5, line("h") + "\n" + line("c", 10)), (6, line("k") + "\n" + line("c", 10) + "\n" + line("d", 2))]
+    data += [(k, line("a") + f"\nx{k}\n" + line("b")) for k in range(10, 15)]
+    data += [(20, line("a") + "\n" + line("b")), (21, line("c", 10) + "\n" + line("d", 2))]
+    got = {r.doc_id: r.removed_lines for r in line_dedup.line_dedup(frame(spark, [(i, t, "s") for i, t in data]), rare_df=1).collect()}
+    assert got[20] == [0, 1] and got[21] == [0, 1] and got[6] == [1] and not got[3]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_against_all_pairs(spark, seed):
+    rnd = random.Random(seed)
+    lines = [" ".join(f"w{k}x{q}" for q in range(rnd.choice([0, 3, 5, 6, 8]))) for k in range(60)]
+    blocks = [rnd.sample(lines, rnd.randrange(1, 4)) for _ in range(40)]
+    data = []
+    for i in range(120):
+        own = [[f"own{i} {k} line"] for k in range(3)]
+        parts = rnd.sample(blocks, 2) + own
+        rnd.shuffle(parts)
+        data.append((i, "\n".join(x for p in parts for x in p)))
+    want = defaultdict(set)
+    cut = [[" ".join(x.split()) for x in t.split("\n")] for _, t in data]
+    for i in range(len(data)):
+        for j in range(i):
+            want[i] |= set(line_dedup.common_blocks(cut[i], cut[j], [len(x.split()) for x in cut[i]], 10))
+    got = {r.doc_id: set(r.removed_lines) for r in line_dedup.line_dedup(frame(spark, [(i, t, "s") for i, t in data])).collect()}
+    missing = sum(len(want[i] - got[i]) for i in got)
+    assert all(got[i] <= want[i] for i in got)
+    assert missing == 0, (missing, sum(map(len, want.values())))
+
+
 def corpus():
     rnd = random.Random(6)
     sizes = {"big": 300, "mid": 60, "small": 12, None: 3}
