@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
 Documents that share line hashes are paired; each pair is aligned by patience diff (lines unique to both
-sides, longest increasing run of them, then the gaps between, extended over equal lines), and every aligned
+sides, longest increasing run of them, then the gaps between, extended over equal lines; in a gap without such lines
+the longest common run of lines, then those on either side of it), and every aligned
 common block of ``min_words`` words or more is deleted from the later document, the one of the larger id.
 
 Pairs come from shared lines: every holder of a line is paired with the line's first holder, and where the
@@ -22,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at_b = {b[k]: k for k in range(j, j_end) if in_b[b[k]] == 1}
         both = [(k, at_b[a[k]]) for k in range(i, i_end) if in_a[a[k]] == 1 and a[k] in at_b]
         if not both:
+            # no line to anchor at: the longest common runs, as lines repeat here
+            if not in_a.keys().isdisjoint(in_b):
+                for p, q, n in SequenceMatcher(None, a[i:i_end], b[j:j_end], autojunk=False).get_matching_blocks():
+                    out += [(i + p + k, j + q + k) for k in range(n)]
             continue
         # longest increasing run of the places in b
         tops: list[int] = []

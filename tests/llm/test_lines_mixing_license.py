@@ -34,6 +34,13 @@ def test_patience_known():
     assert line_dedup.common_blocks([1, 2, 3, 4], [2, 7, 3], [5, 5, 5, 5], 10) == []
 
 
+def test_passage_twice():
+    twice, once = [1, 2, 9, 1, 2], [7, 1, 2, 8]
+    assert line_dedup.common_blocks(twice, once, [6] * 5, 10) in ([0, 1], [3, 4])
+    assert line_dedup.common_blocks([5, 1, 2, 6], [1, 2, 9, 1, 2], [6] * 4, 10) == [1, 2]
+    assert line_dedup.common_blocks(twice, [7, 1, 2, 8, 1, 2, 7], [6] * 5, 10) == [0, 1, 3, 4]
+
+
 def test_line_dedup(spark):
     rnd = random.Random(5)
     line = lambda n: " ".join(rnd.choice("abcdefghijklmnop") * 3 + str(rnd.randrange(9999)) for _ in range(n))
