@@ -12,6 +12,8 @@ stays null. Columns other than id and text are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,11 @@ from searchloom.llm.common import clean_text
 from searchloom.llm.license_texts import KNOWN, SPELLINGS
 
 # A line is a copyright line if it begins with a copyright sign or word and names a year or a holder, or
-# reserves all rights.
-COPYRIGHT_LINE = r"(?:^|\n)[ \t]*(?:(?:portions )?copyright|\(c\)|\x{00A9}|all rights reserved)[^\n]*"
+# reserves all rights. Words that follow "copyright" in a licence's own text are no holder.
+BODY_WORDS = "|".join(sorted({"owner", "owners"} | {w for _, t in KNOWN for w in re.findall(r"copyright\s+([a-z]+)", t.lower())}))
+COPYRIGHT_LINE = rf"(?:^|\n)[ \t]*(?:(?:portions )?copyright(?![a-z])[ \t:,]*+(?!(?:{BODY_WORDS})\b)[^\s.]|\(c\)|\x{{00A9}}|all rights reserved)[^\n]*"
+# the SQL's engine has no look-ahead: it drops every line that begins with the word
+SQL_COPYRIGHT_LINE = r"(?:^|\n)[ \t]*(?:(?:portions )?copyright|\(c\)|\x{00A9}|all rights reserved)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -54,7 +59,7 @@ def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(text: str) -> str:
-        out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', chr(10), 'g')"
+        out = f"regexp_replace(lower(coalesce({text}, '')), '{SQL_COPYRIGHT_LINE}', chr(10), 'g')"
         out = f"' ' || trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g')) || ' '"
         for spelling, usual in SPELLINGS:
             out = f"replace({out}, {quote(f' {spelling} ')}, {quote(f' {usual} ')})"

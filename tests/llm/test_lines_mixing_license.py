@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import defaultdict
 
 import pytest
@@ -154,3 +155,9 @@ def test_license_scan(spark):
         assert r.is_license == (r.license_id is not None)
     assert dict(got) == {1: ["MIT", "MIT"], 2: ["MIT"], 3: [None], 4: [None], 5: [None], 6: ["BSD-3-Clause"], 7: [None], None: ["MIT"], 8: [None]}
     assert license_scan.license_scan(frame(spark, [])).collect() == []
+
+
+def test_known_licenses_in_other_wrappings(spark):
+    ways = [lambda t, w=w: textwrap.fill(" ".join(t.split()), w, break_long_words=False) for w in (20, 40, 60, 72, 79, 10**6)]
+    data = [(n * 100 + k, "Copyright 2020 A. Person\nCopyright Some Company\n\n" + way(t), "s") for n, (_, t) in enumerate(KNOWN) for k, way in enumerate(ways)]
+    assert [(r.doc_id, r.license_id) for r in license_scan.license_scan(frame(spark, data)).collect() if r.license_id != KNOWN[r.doc_id // 100][0]] == []
