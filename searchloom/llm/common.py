@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +17,36 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder of our own is made.
+    Read from ``spark.checkpoint.dir``; only where that is unset and all runs in one machine's process (tests, a
+    laptop) a folder of our own is made. On a cluster without that setting this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="searchloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Parquet tables in the shared folder, used to cut lineage; they outlive any executor."""
 
+    #: Folders made inside ``released()``, innermost last.
+    collecting: list[list[str]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        for roots in self.collecting[-1:]:
+            roots.append(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -48,9 +63,29 @@ class Scratch:
         """Delete a table of this scratch that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end: for steps whose result has been written elsewhere."""
+    Scratch.collecting.append([])
+    try:
+        yield
+    finally:
+        for root in Scratch.collecting.pop():
+            _delete(spark, root)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def clean_text(col: Column) -> Column:

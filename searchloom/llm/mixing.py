@@ -8,7 +8,8 @@ per-source table, so any number of sources will do and only one number per expon
 The weights are realised under a token budget as block permutations: a source's documents fall by hash into
 ``blocks`` blocks; each epoch orders the blocks by a permutation of its own; a source takes as many whole
 epochs as its share of the budget holds, and of the next one the documents that still fit, in order. Prefix
-sums are taken over a source's blocks (a fixed number of rows) and within each block, never over a source.
+sums are taken over a source's blocks and within each block, never over a source; the number of blocks follows
+the square root of the number of documents (at least 4096), so neither sum grows with the corpus itself.
 
 Tokens of a document are its words (between ASCII white space) and one end mark. Defined results: null text
 counts as empty (one token), a null source as ''; rows that share id and source are one document of all
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from searchloom.llm.common import Scratch, clean_text
+from searchloom.llm.common import Scratch, clean_text, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 4096
@@ -65,9 +66,64 @@ def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeats:
     return alpha
 
 
+def block_count(n: int) -> int:
+    """Blocks of ``n`` documents: neither a source's blocks nor a block's documents are many more than the square root of ``n``."""
+    return max(BLOCKS, 1 << math.ceil(math.log2(math.sqrt(max(1, n)))))
+
+
+class _Plan:
+    """Documents in blocks, and what each source gives: ``whole`` epochs and ``rest`` tokens of the next one."""
+
+    def __init__(self, df: DataFrame, target_entropy: float | None, max_repeats: float, budget: int | None, seed: str, id_col: str, text_col: str, source_col: str, blocks: int | None):
+        self.scratch, self.seed = Scratch(df.sparkSession, "mix"), seed
+        rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), (F.regexp_count(clean_text(F.col(text_col)), F.lit(WORD)) + 1).cast("long").alias("n"))
+        docs = self.scratch.write(rows.groupBy("doc_id", "source").agg(F.sum("n").alias("n_tokens")).withColumn("u", _hash48(seed, F.col("doc_id"))), "documents")
+        self.blocks = blocks or block_count(docs.count())
+        self.docs = docs.withColumn("block", self.block(F.col("u")))
+        self.by_block = self.scratch.write(self.docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
+        per_source = self.by_block.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+        total = per_source.agg(F.sum("tokens")).first()[0]
+        self.empty = not total
+        if self.empty:
+            return
+        budget = total if budget is None else budget
+        sources = self.scratch.write(per_source.withColumn("share", F.col("tokens") / F.lit(float(total))), "sources")
+        alpha = find_exponent(sources, target_entropy, max_repeats, float(budget))
+        z = sources.agg(F.sum(F.pow("share", F.lit(alpha)))).first()[0]
+        quota = F.floor(F.pow("share", F.lit(alpha)) / F.lit(z) * F.lit(float(budget)) + F.lit(1e-6)).cast("long")
+        self.quotas = sources.select("source", quota.alias("quota"), "tokens").select("source", F.expr("quota div tokens").cast("int").alias("whole"), F.expr("quota % tokens").alias("rest"))
+
+    def block(self, u: Column) -> Column:
+        return F.pmod(u, F.lit(self.blocks)).cast("int")
+
+    def place(self, epoch: Column, block: Column) -> Column:
+        """What orders the blocks of an epoch."""
+        return _hash48(self.seed, epoch, block)
+
+    def ordered(self, epochs: DataFrame) -> DataFrame:
+        """The blocks of ``epochs(source, epoch, ...)`` in their order, ``before``: tokens of the epoch in the blocks before."""
+        order = Window.partitionBy("source", "epoch").orderBy("place", "block")
+        return self.by_block.join(epochs, "source").withColumn("place", self.place(F.col("epoch"), F.col("block"))).withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
+
+    def cuts(self) -> DataFrame:
+        """One row a source: ``whole``, and where the epoch after the whole ones ends: a document is in it if its (place, block, u, doc_id) is at
+        most (c_place, c_block, c_u, c_id). Both the blocks of an epoch and the documents of a block are taken from the front, so one bound says all."""
+        last = self.ordered(self.quotas.select("source", "rest", "whole", F.col("whole").alias("epoch"))).where("before < rest")
+        end = last.groupBy("source").agg(F.max(F.struct("place", "block", "before", "tokens", "rest")).alias("e")).select("source", "e.*")
+        split = end.where("before + tokens > rest").select(F.col("source").alias("s"), F.col("block").alias("b"), "before", "rest")
+        inside = Window.partitionBy("source", "block").orderBy("u", "doc_id")
+        within = self.docs.join(split, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b"))).withColumn("upto", F.sum("n_tokens").over(inside))
+        fits = within.where("before + upto <= rest").groupBy("source").agg(F.max(F.struct("upto", "u", "doc_id")).alias("d")).select(F.col("source").alias("s"), F.col("d.u").alias("d_u"), F.col("d.doc_id").alias("c_id"))
+        ends = end.join(fits, F.col("source") == F.col("s"), "left").select(
+            F.col("source").alias("e_source"), F.col("place").alias("c_place"), F.col("block").alias("c_block"), "c_id",
+            F.when(F.col("before") + F.col("tokens") <= F.col("rest"), F.lit(1 << 48)).otherwise(F.coalesce("d_u", F.lit(-1))).cast("long").alias("c_u"),
+        )
+        return self.scratch.write(self.quotas.select("source", "whole").join(ends, F.col("source") == F.col("e_source"), "left").drop("e_source"), "cuts")
+
+
 def mix(
     df: DataFrame, target_entropy: float | None = None, max_repeats: float = 4.0, budget: int | None = None, seed: str = "mix",
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int | None = None,
 ) -> DataFrame:
     """One row per document and epoch in which it is taken: doc_id, source, n_tokens, epoch, block, position.
 
@@ -75,43 +131,42 @@ def mix(
     mixture, the corpus's own number if not given. ``target_entropy`` in nats; if not given, half-way between
     the natural mixture's and the flat one's.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "mix")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), (F.regexp_count(clean_text(F.col(text_col)), F.lit(WORD)) + 1).cast("long").alias("n"))
-    docs = rows.groupBy("doc_id", "source").agg(F.sum("n").alias("n_tokens")).withColumn("u", _hash48(seed, F.col("doc_id"))).withColumn("block", F.pmod("u", F.lit(blocks)).cast("int"))
-    docs = scratch.write(docs, "documents")
-    by_block = scratch.write(docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
-    per_source = by_block.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    total = per_source.agg(F.sum("tokens")).first()[0]
-    if not total:
-        return docs.select("doc_id", "source", "n_tokens", F.lit(0).alias("epoch"), "block", F.lit(0).cast("long").alias("position"))
-    budget = total if budget is None else budget
-    sources = scratch.write(per_source.withColumn("share", F.col("tokens") / F.lit(float(total))), "sources")
-    alpha = find_exponent(sources, target_entropy, max_repeats, float(budget))
-    z = sources.agg(F.sum(F.pow("share", F.lit(alpha)))).first()[0]
-    quota = F.floor(F.pow("share", F.lit(alpha)) / F.lit(z) * F.lit(float(budget)) + F.lit(1e-6)).cast("long")
-    plan = sources.select("source", quota.alias("quota"), "tokens").select(
-        "source", F.expr("quota div tokens").cast("int").alias("whole"), F.expr("quota % tokens").alias("rest")
-    )
-    epochs = plan.select("source", "rest", "whole", F.explode(F.sequence(F.lit(0), F.col("whole"))).alias("epoch"))
-    order = Window.partitionBy("source", "epoch").orderBy(F.col("place"), F.col("block"))
+    p = _Plan(df, target_entropy, max_repeats, budget, seed, id_col, text_col, source_col, blocks)
+    if p.empty:
+        return p.docs.select("doc_id", "source", "n_tokens", F.lit(0).alias("epoch"), "block", F.lit(0).cast("long").alias("position"))
+    epochs = p.quotas.select("source", "rest", "whole", F.explode(F.sequence(F.lit(0), F.col("whole"))).alias("epoch"))
     ordered = (
-        by_block.join(epochs, "source").withColumn("place", _hash48(seed, F.col("epoch"), F.col("block")))
-        .withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
-        .where((F.col("epoch") < F.col("whole")) | (F.col("before") < F.col("rest")))
+        p.ordered(epochs).where((F.col("epoch") < F.col("whole")) | (F.col("before") < F.col("rest")))
         .select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "before", F.when(F.col("epoch") < F.col("whole"), F.lit(None).cast("long")).otherwise(F.col("rest")).alias("until"))
     )
     within = Window.partitionBy("source", "block").orderBy("u", "doc_id")
-    placed = docs.withColumn("inside", F.sum("n_tokens").over(within) - F.col("n_tokens"))
+    placed = p.docs.withColumn("inside", F.sum("n_tokens").over(within) - F.col("n_tokens"))
     taken = placed.join(ordered, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b"))).withColumn("position", F.col("before") + F.col("inside"))
     return taken.where(F.col("until").isNull() | (F.col("position") + F.col("n_tokens") <= F.col("until"))).select("doc_id", "source", "n_tokens", "epoch", "block", "position")
 
 
-def take_mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``df``, with all their columns, each as often as the mixture takes it."""
-    taken = mix(df, id_col=id_col, source_col=source_col, **options).select(F.col("doc_id").alias("__t_id"), F.col("source").alias("__t_source"))
-    own = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    return df.join(taken, F.col(id_col).eqNullSafe(F.col("__t_id")) & (own == F.col("__t_source"))).drop("__t_id", "__t_source")
+def take_mixture(
+    df: DataFrame, target_entropy: float | None = None, max_repeats: float = 4.0, budget: int | None = None, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int | None = None,
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, each as often as the mixture takes it.
+
+    Texts are not shuffled: each row is compared with its source's cut, one row a source.
+    """
+    p = _Plan(df, target_entropy, max_repeats, budget, seed, id_col, text_col, source_col, blocks)
+    if p.empty:
+        return df.limit(0)
+    names = ["source", "whole", "c_place", "c_block", "c_u", "c_id", "u", "block", "place", "times"]
+    own = dict(zip(names, unused(df, *[f"mix_{n}" for n in names])))
+    c = lambda n: F.col(own[n])
+    cuts = p.cuts().select(*[F.col(n).alias(own[n]) for n in names[:6]])
+    rows = df.withColumn(own["u"], _hash48(seed, F.col(id_col))).withColumn(own["block"], p.block(c("u")))
+    rows = rows.join(cuts, F.coalesce(F.col(source_col).cast("string"), F.lit("")) == c("source")).withColumn(own["place"], p.place(c("whole"), c("block")))
+    upto = F.col(id_col).isNull() | F.coalesce(F.col(id_col) <= c("c_id"), F.lit(False))
+    inside = (c("u") < c("c_u")) | ((c("u") == c("c_u")) & upto)
+    taken = (c("place") < c("c_place")) | ((c("place") == c("c_place")) & ((c("block") < c("c_block")) | ((c("block") == c("c_block")) & inside)))
+    rows = rows.withColumn(own["times"], c("whole") + F.coalesce(taken, F.lit(False)).cast("int")).where(c("times") > 0)
+    return rows.select(*df.columns, F.explode(F.sequence(F.lit(1), c("times"))).alias(own["times"])).drop(own["times"])
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +177,7 @@ ORACLE_SQL = """
 WITH RECURSIVE rows AS (
   SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS n FROM documents),
 docs AS (
-  SELECT *, CAST(u % 4096 AS INTEGER) AS block FROM (
+  SELECT *, CAST(u % greatest(4096, CAST(pow(2, ceil(log2(sqrt(count(*) OVER ())))) AS BIGINT)) AS INTEGER) AS block FROM (
     SELECT doc_id, source, CAST(sum(n) AS BIGINT) AS n_tokens, CAST('0x' || substr(md5('mix:' || doc_id), 1, 12) AS BIGINT) AS u FROM rows GROUP BY doc_id, source)),
 src AS (
   SELECT source, tokens, tokens / CAST(sum(tokens) OVER () AS DOUBLE) AS share, CAST(sum(tokens) OVER () AS DOUBLE) AS budget

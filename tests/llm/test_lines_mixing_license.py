@@ -3,11 +3,12 @@
 import math
 import random
 import textwrap
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from searchloom.llm import license_scan, line_dedup, mixing
 from searchloom.llm.license_texts import KNOWN
@@ -138,10 +139,29 @@ def test_mixing(spark, limit):
     orders = [[r.doc_id for r in sorted((r for r in out if r.source == "small" and r.epoch == e), key=lambda r: r.position)] for e in (0, 1)]
     assert sorted(orders[0]) == sorted(i for i, _, s in data if s == "small")
     rows = mixing.take_mixture(frame(spark, data), max_repeats=limit, blocks=8)
-    assert rows.columns == frame(spark, data).columns and rows.count() == len(out)
+    assert rows.columns == frame(spark, data).columns and Counter(r.doc_id for r in rows.collect()) == Counter(r.doc_id for r in out)
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 8, 64])
+def test_mixing_repeated_rows_ties_and_clashing_names(spark, blocks):
+    """Rows that share id and source go together, null ids and sources count, very long and empty texts fit; names that the operator uses itself do no harm."""
+    data = corpus() + [(5, "again " * 9, "big"), (5, "again " * 9, "big"), (None, "x y", "mid"), (None, "z", "mid"), (900, "w " * 200_000, "big"), (901, None, "small"), (902, "", "small")]
+    df = frame(spark, data)
+    for c in ("mix_u", "mix_times", "place", "u", "whole"):
+        df = df.withColumn(c, F.lit(7))
+    out = Counter((r.doc_id, r.source) for r in mixing.mix(df, max_repeats=3.0, blocks=blocks).collect())
+    rows = mixing.take_mixture(df, max_repeats=3.0, blocks=blocks)
+    assert rows.columns == df.columns
+    own = Counter((i, s or "") for i, _, s in data)
+    assert Counter((r.doc_id, r.source or "") for r in rows.collect()) == Counter({k: n * own[k] for k, n in out.items()})
+    assert mixing.take_mixture(df.limit(0)).collect() == []
+
+
+def test_block_count():
+    assert [mixing.block_count(n) for n in (0, 1, 4096**2, 4096**2 + 1, 10**11)] == [4096, 4096, 4096, 8192, 1 << 19]
+
+
 def test_license_scan(spark):
     mit, bsd = KNOWN[0][1], KNOWN[9][1]
     data = [
