@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Parts kept per worker process; the table is emptied when it is full.
-TABLE_ENTRIES = 900_000
+TABLE_ENTRIES = 400_000
 #: Longer parts are encoded each time and not kept.
 LONGEST_KEPT = 48
 
@@ -25,6 +25,13 @@ SPLITTABLE_NORMALISERS = ["NFC", "Replace", "Lowercase"]
 SPLITTABLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _part_from_marks(core: str) -> bool:
+    """Whether a mark after these letters is a part by itself: the last letter is one in lower case as well (the
+    small form of U+0130 ends in a combining dot, which the library joins to the mark) and in every edition of Unicode."""
+    last = core[-1:]
+    return core.isalpha() and last.lower().isalpha() and (last < "\u0530" or "\u4e00" <= last <= "\u9fa5")
+
+
 def resolve(tokenizer: str) -> str:
     """A path as it is; a bare file name is looked up among the installed public tokenizers."""
     if os.path.isabs(tokenizer):
@@ -90,7 +97,7 @@ class Encoder:
         plain, odd, want = [], [], set()
         for p in new:
             core, end = (p[:-1], p[-1]) if p[-1] in ",.;:!?" else (p, "")
-            if core.isalpha():
+            if _part_from_marks(core) if end else core.isalpha():
                 if core.isascii():
                     core = core.lower()
                 plain.append((p, core, end))

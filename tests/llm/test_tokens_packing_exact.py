@@ -37,6 +37,23 @@ def test_parts_equal_whole(text):
     assert tok.encoder("word_bpe_49k.json").ids(text).tolist() == ids(text)
 
 
+def test_parts_of_all_letters():
+    """Every letter at the end of a word, before each mark, in both cases."""
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not 0xD800 <= c < 0xE000]
+    letters = [c for c in letters if c < "\u3400"] + letters[:: 97]
+    texts = [" ".join(f"{w}{c}{m}" for c in letters[k : k + 500]) for w in ("", "AL") for m in ("", ".", ",", "!") for k in range(0, len(letters), 500)]
+    enc = tok.Encoder("word_bpe_49k.json")
+    for t, want in zip(texts, TK.encode_batch_fast(texts, add_special_tokens=False)):
+        assert enc.ids(t).tolist() == want.ids
+
+
+def test_documents_as_the_library(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()
+    enc = tok.Encoder("word_bpe_49k.json")
+    for r, want in zip(docs, TK.encode_batch_fast([r.text or "" for r in docs], add_special_tokens=False)):
+        assert enc.ids(r.text).tolist() == want.ids
+
+
 def test_counts(spark, tmp_path):
     df = spark.createDataFrame(rows(TEXTS), SCHEMA)
     for _ in range(2):  # the second time all are in the cache
@@ -85,9 +102,11 @@ def test_packing(spark):
     texts = TEXTS + [f"w{i} " * (i * 37 % 1500) for i in range(120)]
     df = spark.createDataFrame(rows(texts), SCHEMA)
     total = sum(len(ids(t)) + 1 for t in texts)
-    n = check_packing(packing.pack(df, node_pieces=10, fan_in=3).collect(), texts)
+    n = check_packing(packing.pack(df, node_items=10).collect(), texts)
     assert n <= 1.12 * -(-total // 4096)  # tiny nodes; at production size the waste is under one percent
-    n = check_packing(packing.pack(df, node_pieces=10, fan_in=2, max_carry=1).collect(), texts)  # more emitted early, nothing lost
+    same = spark.createDataFrame([(None if k % 2 else 5, "w " * 2500, *["x"] * 2, 0, "x", "y", 1) for k in range(90)], SCHEMA)  # equal rows, no two fit together
+    out = packing.pack(same, node_items=8).collect()
+    assert len(out) == 90 == len({r.sequence_id for r in out})
     empty = spark.createDataFrame([], SCHEMA)
     assert packing.pack(empty).collect() == [] and token_counts.token_counts(empty).collect() == []
     assert [(r.doc_id, r.length) for r in packing.pack(spark.createDataFrame([(None, None, *["x"] * 2, 0, "x", "y", 1)], SCHEMA)).collect()] == [(None, 1)]
