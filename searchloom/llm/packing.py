@@ -1,11 +1,12 @@
 """Hierarchical residual packing of token sequences.
 
 Each document's ids, an end mark after them, are cut into pieces of at most ``capacity`` tokens. Pieces of
-full length are sequences by themselves. The rest are dealt evenly over nodes of about ``node_pieces``
+full length are sequences by themselves. The rest are dealt by row number over nodes of about ``node_items``
 pieces; each node packs best-fit (largest first, tightest bin), emits the bins that are nearly full and
-passes the underfull ones on, as items, to a node that merges ``fan_in`` nodes and repeats. The last node
-emits everything. A node passes on at most ``max_carry`` bins, its emptiest: the others are emitted as they
-stand, so a node's input is bounded by fan_in * max_carry bins whatever the corpus, and no piece is lost.
+passes all underfull ones on, as items, to a merging node, which repeats. Bins with less room than the
+smallest item left anywhere are emitted too: nothing fits them. A level has as many nodes as ``node_items``
+asks for, so a node's input is bounded whatever the corpus; levels end with a single node, or when one has
+left nearly (``least_gain``) as many bins as it was given, as then most bins fit no other.
 
 Defined results: null text is empty, and an empty document is one piece of one token (the end mark);
 repeated rows are packed as often as they occur; a null id is packed like any other; an empty table gives
@@ -75,8 +76,8 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
     return where
 
 
-def _pack_node(t: pa.Table, capacity: int, nearly: int, max_carry: int, level: int, last: bool) -> pa.Table:
-    """One node: items are the rows that share ``item``; rows come out with their bin, whether it is passed on, and their place."""
+def _pack_node(t: pa.Table, capacity: int, level: int) -> pa.Table:
+    """One node: items are the rows that share ``item``; rows come out with their bin, its fill and their place."""
     t = t.sort_by([("item", "ascending"), ("offset", "ascending")])
     node = t.column("node")[0].as_py()
     col = lambda c: t.column(c).to_numpy()
@@ -92,49 +93,51 @@ def _pack_node(t: pa.Table, capacity: int, nearly: int, max_carry: int, level: i
     base = np.empty(len(size), np.int64)
     base[by_bin] = begins - np.maximum.accumulate(np.where(new_bin, begins, 0))
     fill = np.bincount(where, weights=size).astype(np.int64)
-    carried = np.zeros(len(fill), bool)
-    if not last:
-        under = np.flatnonzero(fill < nearly)
-        carried[under[np.argsort(fill[under], kind="stable")][:max_carry]] = True
-    new = {"offset": col("offset") + base[item], "carried": carried[where[item]], "item": (level << 58) | (node << 24) | where[item]}
+    new = {"offset": col("offset") + base[item], "fill": fill[where[item]], "item": (level << 56) | (node << 24) | where[item]}
     for c, v in new.items():
         t = t.set_column(t.schema.get_field_index(c), c, pa.array(v)) if c in t.column_names else t.append_column(c, pa.array(v))
     return t
 
 
-def _packer(capacity: int, nearly: int, max_carry: int, level: int, last: bool, names: list[str]) -> Callable[[pa.Table], pa.Table]:
+def _packer(capacity: int, level: int, names: list[str]) -> Callable[[pa.Table], pa.Table]:
     def one(t: pa.Table) -> pa.Table:
-        return _pack_node(t, capacity, nearly, max_carry, level, last).select(names)
+        return _pack_node(t, capacity, level).select(names)
 
     return one
 
 
 def pack(
     df: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    node_pieces: int = 1500, fan_in: int = 8, nearly_full: float = 0.995, max_carry: int = 256,
+    node_items: int = 1500, nearly_full: float = 0.995, least_gain: float = 0.02,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "pack")
+    scratch = Scratch(df.sparkSession, "pack")
     pieces = scratch.write(cut_pieces(df, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     small = pieces.where(F.col("length") < capacity)
-    nodes = max(1, -(-small.count() // node_pieces))
-    full = pieces.where(F.col("length") == capacity).select(
-        "*", (F.lit(15 << 58).bitwiseOR(F.monotonically_increasing_id())).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
+    items, level, nearly = small.count(), 0, int(nearly_full * capacity)
+    nodes = max(1, -(-items // node_items))
+    own = [x.split()[0] for x in PIECES.split(", ")]
+    full = pieces.where(F.col("length") == capacity).select(*own, F.lit(15 << 58).bitwiseOR(F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     emitted = [full]
-    todo = small.select("*", F.monotonically_increasing_id().alias("item"), F.lit(0).cast("long").alias("offset"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(nodes)).alias("node"))
-    schema = f"{PIECES}, item long, offset long, node long, carried boolean"
+    emit = lambda rows: emitted.append(rows.select(*own, F.col("item").alias("sequence_id"), "offset"))
+    todo = small.select(*own, F.monotonically_increasing_id().alias("item"), F.lit(0).cast("long").alias("offset")).withColumn("node", F.pmod("item", F.lit(nodes)))
+    schema = f"{PIECES}, item long, offset long, node long, fill long"
     names = [x.split()[0] for x in schema.split(", ")]
-    level = 0
     while True:
-        last = nodes == 1
-        packed = scratch.write(todo.groupBy("node").applyInArrow(_packer(capacity, int(nearly_full * capacity), max_carry, level, last, names), schema), f"level{level}")
-        emitted.append(packed.where("not carried").select(*[c for c in names if c not in ("item", "offset", "node", "carried")], F.col("item").alias("sequence_id"), "offset"))
-        if last:
+        packed = scratch.write(todo.groupBy("node").applyInArrow(_packer(capacity, level, names), schema), f"level{level}")
+        if nodes == 1:
+            emit(packed)
             break
-        level, nodes = level + 1, -(-nodes // fan_in)
-        todo = packed.where("carried").drop("carried").withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
+        under = (F.col("fill") < nearly) & (F.col("offset") == 0)  # one row a bin
+        least = packed.where(under).agg(F.min("fill")).first()[0] or capacity
+        carried = (F.col("fill") < nearly) & (F.col("fill") + least <= capacity)
+        left = packed.where(carried & (F.col("offset") == 0)).count()
+        if left == 0 or (level and left > (1 - least_gain) * items):
+            emit(packed)
+            break
+        emit(packed.where(~carried))
+        items, level, nodes = left, level + 1, max(1, -(-left // node_items))
+        todo = packed.where(carried).drop("fill").withColumn("node", F.pmod(F.xxhash64("item"), F.lit(nodes)))
     out = emitted[0]
     for e in emitted[1:]:
         out = out.unionByName(e)
