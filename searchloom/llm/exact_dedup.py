@@ -8,53 +8,67 @@ Three stages, each grouping by digest *and* full content:
    third of all rows is merged by many tasks,
 3. per (digest, content): at most ``salts`` rows of a group are left to combine.
 
+Every row's content has then been compared with all others of its digest. Where a digest has one content, its rows
+are equal for certain, and the group is handed out to them by digest alone; where it has several, by content.
+
 Defined results: null text counts as empty. Rows that share id and text are one document (all have the same
 result; group_size counts the rows). A row without id never stays if its group has a row with one; a group
-of rows without ids keeps them all, with keep_id null. An empty table gives an empty result. Other columns
-of the input are not read, whatever their names.
+of rows without ids keeps them all, with keep_id null. ``drop_copies`` leaves one row of each group in any case.
+An empty table gives an empty result. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm.common import ASCII_SPACE, clean_text
+from searchloom.llm.common import ASCII_SPACE, Scratch, clean_text, unused
 
 
-def _normalised(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("doc_id"), F.regexp_replace(clean_text(F.col(text_col)), ASCII_SPACE, " ").alias("t")).select(
-        "doc_id", "t", F.sha2("t", 256).alias("sha"), F.xxhash64("t").alias("xx"), F.octet_length("t").alias("n")
-    )
+def _sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _normal(text: Column) -> Column:
+    return F.regexp_replace(clean_text(text), ASCII_SPACE, " ")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = _normalised(df, id_col, text_col)
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. ``digest`` deals the texts; any function will do."""
+    scratch = Scratch(df.sparkSession, "exact-dedup")
+    rows = df.select(F.col(id_col).alias("doc_id"), _normal(F.col(text_col)).alias("t")).withColumn("digest", digest(F.col("t")))
     salted = (
         rows.withColumn("salt", F.spark_partition_id() % salts)
-        .groupBy("sha", "t", "salt")
+        .groupBy("digest", "t", "salt")
         .agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("c"))
     )
-    winners = (
-        salted.groupBy("sha", "t")
-        .agg(F.min("m").alias("keep_id"), F.sum("c").alias("group_size"))
-        .select(F.col("sha").alias("w_sha"), F.xxhash64("t").alias("w_xx"), F.octet_length("t").alias("w_n"), "keep_id", "group_size")
-    )
-    # Membership is handed out by narrow keys: SHA-256, a second digest and the length. A hot key's rows are
-    # on one side only, so adaptive execution splits them.
-    return (
-        rows.drop("t")
-        .join(winners, (F.col("sha") == F.col("w_sha")) & (F.col("xx") == F.col("w_xx")) & (F.col("n") == F.col("w_n")))
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
-    )
-
-
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    keep = exact_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__k_id"), F.col("text_sha256").alias("__k_sha"))
-    sha = F.sha2(F.regexp_replace(clean_text(df[text_col]), ASCII_SPACE, " "), 256)
-    return df.join(keep, df[id_col].eqNullSafe(F.col("__k_id")) & (sha == F.col("__k_sha")), "left_semi")
+    groups = salted.groupBy("digest", "t").agg(F.min("m").alias("keep_id"), F.sum("c").alias("group_size"))
+    groups = scratch.write(groups.select("digest", _sha256(F.col("t")).alias("sha"), "keep_id", "group_size"), "groups")
+    shared = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select(F.col("digest").alias("x_digest"))
+    shared = scratch.write(shared, "shared-digests")
+    result = lambda sha: ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256")]
+    winners = groups.select(F.col("digest").alias("w_digest"), "sha", "keep_id", "group_size")
+    clash = not shared.isEmpty()
+    own = rows.join(shared, F.col("digest") == F.col("x_digest"), "left_anti") if clash else rows
+    # A hot digest's rows are on one side only, so adaptive execution splits them.
+    out = own.select("doc_id", "digest").join(winners, F.col("digest") == F.col("w_digest")).select(*result(F.col("sha")))
+    if clash:
+        held = rows.join(shared, F.col("digest") == F.col("x_digest"), "left_semi")
+        whole = held.groupBy("digest", "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select(F.col("t").alias("w_t"), "keep_id", "group_size")
+        out = out.union(held.join(whole, F.col("t") == F.col("w_t")).select(*result(_sha256(F.col("t")))))
+    return out
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: one row of each group of equal texts. Of rows that share the kept id
+    and the text, one stays; they are combined in each scan task before they move."""
+    keep = exact_dedup(df, id_col, text_col, **options).where("kept").select("doc_id", "text_sha256").distinct()
+    sha, k_id, k_sha = unused(df, "text_sha", "keep_id", "keep_sha")
+    keep = keep.select(F.col("doc_id").alias(k_id), F.col("text_sha256").alias(k_sha))
+    rows = df.withColumn(sha, _sha256(_normal(F.col(text_col)))).dropDuplicates([id_col, sha])
+    return rows.join(keep, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(sha) == F.col(k_sha)), "left_semi").select(*df.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from searchloom.llm import exact_dedup, packing, token_counts
@@ -61,6 +62,8 @@ def test_counts(spark, tmp_path):
         for i, t in enumerate(TEXTS):
             assert (got[i].n_bytes, got[i].n_tokens) == (len((t or "").encode()), len(ids(t))), i
             assert got[i].over_limit == (len(ids(t)) > 2048)
+    one = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, batches=5).collect()}  # batches meet what earlier ones stored
+    assert one == {i: len(ids(t)) for i, t in enumerate(TEXTS)}
     cached = spark.read.parquet(str(tmp_path / "c"))
     assert cached.count() == len({t or "" for t in TEXTS})
     more = spark.createDataFrame(rows(TEXTS + ["new one"]), SCHEMA)
@@ -120,6 +123,7 @@ def test_best_fit():
 def test_exact_dedup(spark):
     texts = TEXTS + ["dup"] * 40 + ["a  b", "a b", "a\n\tb"]
     data = rows(texts)[::-1] + [(None, "only null id", *["x"] * 2, 0, "x", "y", 1), (None, "dup", *["x"] * 2, 0, "x", "y", 1), (3, "Hello, World.", *["x"] * 2, 0, "x", "y", 1)]
+    data += [(21, "thrice", *["x"] * 2, 0, "x", "y", 1)] * 3
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
     for r in data:
@@ -134,5 +138,12 @@ def test_exact_dedup(spark):
         want.append((i, keep, len(own), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
-    assert sorted((r.doc_id for r in exact_dedup.drop_copies(df).collect()), key=str) == sorted((w[0] for w in want if w[3]), key=str)
+    weak = lambda t: F.substring(F.sha2(t, 256), 1, 1)  # noqa: E731 - many texts of one digest
+    assert sorted(map(tuple, exact_dedup.exact_dedup(df, salts=3, digest=weak).collect()), key=key) == sorted(want, key=key)
+    left = [(i, norm(t)) for i, t, *_ in data if i == min((x for x in groups[norm(t)] if x is not None), default=None)]
+    for options in ({}, {"digest": weak}):
+        kept = exact_dedup.drop_copies(df, **options)
+        assert kept.columns == df.columns and sorted(((r.doc_id, norm(r.text)) for r in kept.collect()), key=str) == sorted(set(left), key=str)
+    clash = df.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("text_sha", "keep_id", "keep_sha", "sha", "digest")])
+    assert exact_dedup.drop_copies(clash).columns == clash.columns and exact_dedup.drop_copies(clash).count() == len(set(left))
     assert exact_dedup.exact_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
