@@ -11,9 +11,10 @@ languages of rows that are not held out, and of those a hash sample of about ``d
 language (a documented bound; it draws from the whole table). Prediction reads the whole text and nothing else.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text if
-there is nothing to learn from. A null id is not held out. Words are runs of letters, in lower case; a run
-of over 48 bytes is scored in sections of 48. Repeated rows each get their row; an empty table gives an
-empty result; other columns are not read, whatever their names.
+there is nothing to learn from. A null id is not held out. Words are runs of letters and the marks on them, in
+lower case, however long; sums that a double could not hold are taken in logarithms. Of equally likely languages the first
+in alphabetical order is given. Repeated rows each get their row; an empty table gives an empty result; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import base64
 import pickle
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,30 +32,49 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm.common import Scratch
+from searchloom.llm.common import Scratch, unused
 from searchloom.llm.tokenizer import resolve
 
-LONGEST_PIECE = 16
-LONGEST_WORD = 48
-#: Entries and bytes of a worker's table of words that it has scored; it is emptied when full.
-TABLE_ENTRIES, TABLE_BYTES = 500_000, 64 << 20
-LETTERS = regex.compile(r"\p{L}+")
+#: Words of more bytes are scored one by one, in logarithms, shorter ones together by length; the sums are the same.
+LONG_WORD = 64
+#: Characters of a text that are cut into words at a time.
+SECTION = 1 << 20
+#: Entries and bytes of a worker's table of words that it has scored; it is emptied when full. Longer parts aren't entered.
+TABLE_ENTRIES, TABLE_BYTES, LONGEST_KEPT = 200_000, 32 << 20, 64
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HASH_BASE, HASH_MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
+HASH_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters and the marks on them, in lower case."""
     return LETTERS.findall(text.lower())
 
 
+def sections(text: str) -> Iterator[str]:
+    """A long text in parts that end at white space."""
+    at = 0
+    while len(text) - at > SECTION:
+        end = at + SECTION
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class Pieces:
     """The vocabulary: which byte strings are pieces. Lookup by 64-bit hash in an open table."""
 
     def __init__(self, vocabulary: str):
         with open(resolve(vocabulary), "rb") as f:
             pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-        self.pieces = [p for p in pieces if 0 < len(p) <= LONGEST_PIECE]
+        self.pieces = [p for p in pieces if p]
         self.n = len(self.pieces)
-        bits = 20
+        if len({p for p in self.pieces if len(p) == 1}) < 256:
+            raise ValueError("the vocabulary lacks single bytes: not every word can be cut into pieces")
+        self.lengths = sorted({len(p) for p in self.pieces})
+        bits = max(8, (8 * self.n).bit_length())
         self.shift = np.uint64(64 - bits)
         self.keys, self.ids = np.zeros((1 << bits) + 64, np.uint64), np.full((1 << bits) + 64, self.n, np.int32)
         self.depth = 0
@@ -84,14 +104,37 @@ class Pieces:
     def lattice(self, letters: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """(begin, end) -> piece of each word, ``n`` where the bytes there are none. Words of one length, as rows."""
         m = letters.shape[1]
+        have = set(self.lengths)
         out = {}
         for i in range(m):
             h = np.ones(len(letters), np.uint64)
-            for j in range(i + 1, min(m, i + LONGEST_PIECE) + 1):
+            for j in range(i + 1, min(m, i + self.lengths[-1]) + 1):
                 h = h * HASH_BASE + (letters[:, j - 1] + np.uint64(1))
-                out[i, j] = self.find(h)
+                if j - i in have:
+                    out[i, j] = self.find(h)
         return out
 
+    def arcs(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begins, ends, pieces) of all pieces in one word, by end."""
+        x = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+        up, down = np.full(len(x) + 1, HASH_BASE), np.full(len(x) + 1, HASH_INVERSE)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        c = np.concatenate([[np.uint64(0)], np.cumsum(x * down[:-1])])
+        begins, ids, ends = [], [], []
+        for n in self.lengths:
+            if n > len(x):
+                break
+            i = np.arange(len(x) - n + 1)
+            found = self.find(up[n] + (c[n:] - c[:-n]) * up[i + n - 1])
+            at = np.flatnonzero(found < self.n)
+            begins.append(at)
+            ends.append(at + n)
+            ids.append(found[at])
+        begins, ends, ids = (np.concatenate(v) for v in (begins, ends, ids))
+        order = np.argsort(ends, kind="stable")
+        return begins[order], ends[order], ids[order]
+
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places in ``words``, their bytes as rows) for each length, some thousands at a time."""
@@ -104,24 +147,68 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.array(part), np.frombuffer(b"".join([words[k] for k in part]), np.uint8).reshape(len(part), m).astype(np.uint64)
 
 
+def together(p: np.ndarray) -> int:
+    """Longest words in bytes that are scored together by length: no product of their pieces' probabilities vanishes in a double."""
+    return int(min(LONG_WORD, 290 / max(1.0, -np.log10(p[:-1].min(initial=1.0)))))
+
+
 def forward(lattice: dict, m: int, p: np.ndarray, n: int) -> list[np.ndarray]:
-    """f[j]: probability of the first j bytes, for each word and language; p has a last row of zeros."""
-    f = [np.ones((n, p.shape[1]))]
+    """f[j]: probability of the first j bytes, for each word and column of p, which has a last row of zeros."""
+    f, into = [np.ones((n, p.shape[1]))], defaultdict(list)
+    for i, j in lattice:
+        into[j].append(i)
     for j in range(1, m + 1):
-        f.append(sum(f[i] * p[lattice[i, j]] for i in range(max(0, j - LONGEST_PIECE), j)))
+        f.append(sum(f[i] * p[lattice[i, j]] for i in into[j]))
     return f
 
 
 def backward(lattice: dict, m: int, p: np.ndarray, n: int) -> list[np.ndarray]:
-    b = [np.ones((n, p.shape[1]))] * (m + 1)
+    """The same for the bytes from i on."""
+    b, out_of = [np.ones((n, p.shape[1]))] * (m + 1), defaultdict(list)
+    for i, j in lattice:
+        out_of[i].append(j)
     for i in range(m - 1, -1, -1):
-        b[i] = sum(b[j] * p[lattice[i, j]] for j in range(i + 1, min(m, i + LONGEST_PIECE) + 1))
+        b[i] = sum(b[j] * p[lattice[i, j]] for j in out_of[i])
     return b
 
 
-def sections(word: str) -> list[bytes]:
-    raw = (" " + word).encode("utf-8", "surrogatepass")
-    return [raw[i : i + LONGEST_WORD] for i in range(0, len(raw), LONGEST_WORD)]
+def along(begins: np.ndarray, ends: np.ndarray, logs: np.ndarray, m: int) -> np.ndarray:
+    """Logarithms of the forward sums of one word over its arcs, which come by end; ``logs``: of the arcs' probabilities."""
+    f = np.zeros((m + 1, logs.shape[1]))
+    cut = np.searchsorted(ends, np.arange(m + 2))
+    for j in range(1, m + 1):
+        x = f[begins[cut[j] : cut[j + 1]]] + logs[cut[j] : cut[j + 1]]
+        top = x.max(0)
+        f[j] = top + np.log(np.exp(x - top).sum(0))
+    return f
+
+
+def expected(vocab: Pieces, words: list[bytes], lang: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected number of each piece in each language, over all segmentations of the words, each in its own language."""
+    total, most = np.zeros(p.shape), together(p)
+    short = [k for k, w in enumerate(words) if len(w) <= most]
+    for at, letters in by_length([words[k] for k in short]):
+        at = np.array(short)[at]
+        lat, m = vocab.lattice(letters), letters.shape[1]
+        for of in np.unique(lang[at]):
+            own = lang[at] == of
+            part, col, n = {ij: q[own] for ij, q in lat.items()}, p[:, of : of + 1], int(own.sum())
+            f, b = forward(part, m, col, n), backward(part, m, col, n)
+            for (i, j), q in part.items():
+                np.add.at(total, (q, of), weight[at][own] * (f[i] * col[q] * b[j] / f[m])[:, 0])
+    for k, w in enumerate(words):
+        if len(w) > most:
+            m, of = len(w), lang[k]
+            begins, ends, ids = vocab.arcs(w)
+            logs = np.log(p[ids, of])[:, None]
+            turned = np.argsort(m - begins, kind="stable")
+            f, b = along(begins, ends, logs, m), along((m - ends)[turned], (m - begins)[turned], logs[turned], m)[::-1]
+            np.add.at(total, (ids, of), weight[k] * np.exp(f[begins] + logs + b[ends] - f[m])[:, 0])
+    return total
+
+
+def encoded(word: str) -> bytes:
+    return (" " + word).encode("utf-8", "surrogatepass")
 
 
 _pieces: dict[str, Pieces] = {}
@@ -150,23 +237,24 @@ class Model:
 
     def _start(self) -> None:
         width = len(self.langs) + 1
+        self.together = together(self.p)
         self.capacity = max(1000, min(TABLE_ENTRIES, TABLE_BYTES // (8 * width)))
         self.row: dict[str, int] = {}
         self.table = np.zeros((0, width))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
-        cut = [sections(w) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(c) for c in cut])
-        flat = [s for c in cut for s in c]
-        logs = np.zeros((len(flat), len(self.langs)))
+        raw = [encoded(w) for w in words]
+        out = np.zeros((len(words), len(self.langs)))
         vocab = pieces(self.vocabulary)
-        for at, letters in by_length(flat):
+        short = [k for k, w in enumerate(raw) if len(w) <= self.together]
+        for at, letters in by_length([raw[k] for k in short]):
             m = letters.shape[1]
-            f = forward(vocab.lattice(letters), m, self.p, len(at))[m]
-            logs[at] = np.log(np.maximum(f, 1e-300))
-        out = np.zeros((len(words), len(self.langs)))
-        np.add.at(out, owner, logs)
+            out[np.array(short)[at]] = np.log(forward(vocab.lattice(letters), m, self.p, len(at))[m])
+        for k, w in enumerate(raw):
+            if len(w) > self.together:
+                begins, ends, ids = vocab.arcs(w)
+                out[k] = along(begins, ends, np.log(self.p[ids]), len(w))[-1]
         return out
 
     def _learn(self, parts: set[str]) -> None:
@@ -191,21 +279,38 @@ class Model:
             self.table = grown
         self.table[begin : begin + len(parts)] = new
 
+    def _sum(self, text: str) -> np.ndarray:
+        """Sum of the scores of a text's words, and how many words."""
+        out = np.zeros(len(self.langs) + 1)
+        for part in sections(text):
+            parts = part.split()
+            odd = [p for p in parts if len(p) > LONGEST_KEPT]
+            if odd:
+                parts = [p for p in parts if len(p) <= LONGEST_KEPT]
+                for p in odd:
+                    ws = words_of(p)
+                    if ws:
+                        out[:-1] += self.word_scores(ws).sum(0)
+                        out[-1] += len(ws)
+            new = set(parts).difference(self.row)
+            if new and len(self.row) + len(new) > self.capacity:
+                self._start()
+                new = set(parts)
+            if new:
+                self._learn(new)
+            if parts:
+                out += self.table[np.fromiter(map(self.row.__getitem__, parts), np.int64, len(parts))].sum(0)
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        cut = [t.split() if t else [] for t in texts]
-        new = set().union(*cut).difference(self.row)
-        if new and len(self.row) + len(new) > self.capacity:
-            self._start()
-            new = set().union(*cut)
-        if new:
+        # words of all short texts are scored together
+        new = set().union(*[t.split() for t in texts if t and len(t) <= SECTION]).difference(self.row)
+        new = {p for p in new if len(p) <= LONGEST_KEPT}
+        if new and len(self.row) + len(new) <= self.capacity:
             self._learn(new)
-        sums = np.zeros((len(texts), len(self.langs) + 1))
-        get = self.row.__getitem__
-        for k, parts in enumerate(cut):
-            if parts:
-                sums[k] = self.table[np.fromiter(map(get, parts), np.int64, len(parts))].sum(0)
+        sums = np.array([self._sum(t) if t else np.zeros(len(self.langs) + 1) for t in texts])
         logs = sums[:, :-1]
         best = logs.argmax(1)
         score = 1 / np.exp(np.maximum(logs - logs.max(1, keepdims=True), -700)).sum(1)
@@ -220,13 +325,16 @@ def held_out(id_col: Column) -> Column:
 
 def fit(
     df: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", docs_per_lang: int = 1500, rounds: int = 4, smoothing: float = 0.01,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    most_langs: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
-    """Learn from the rows of ``df`` that have a language and are not held out."""
+    """Learn from the rows of ``df`` that have a language and are not held out. More than ``most_langs`` languages are an
+    error: the model, a number for each piece and language, is held by every worker."""
     spark = df.sparkSession
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((1, 0)), vocabulary)
@@ -237,7 +345,8 @@ def fit(
         for b in batches:
             seen: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                seen.update((lang, w) for w in words_of(text.as_py()))
+                for part in sections(text.as_py()):
+                    seen.update((lang, w) for w in words_of(part))
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
@@ -254,18 +363,7 @@ def fit(
             total = np.zeros(p.shape)
             for b in batches:
                 lang = np.array([langs.index(x) for x in b.column(0).to_pylist()])
-                cut = [sections(w) for w in b.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-                weight = b.column(2).to_numpy()
-                for at, letters in by_length([s for c in cut for s in c]):
-                    m, of = letters.shape[1], lang[owner[at]]
-                    n = weight[owner[at]]
-                    lat = vocab.lattice(letters)
-                    own = np.arange(len(at))
-                    f = [x[own, of] for x in forward(lat, m, p, len(at))]
-                    r = [x[own, of] for x in backward(lat, m, p, len(at))]
-                    for (i, j), q in lat.items():
-                        np.add.at(total, (q, of), n * f[i] * p[q, of] * r[j] / np.maximum(f[m], 1e-300))
+                total += expected(vocab, [encoded(w) for w in b.column(1).to_pylist()], lang, b.column(2).to_numpy(), p)
             q, k = np.nonzero(total[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(k, pa.int32()), pa.array(total[q, k])], ["piece", "lang", "c"])
 
@@ -282,7 +380,7 @@ def fit(
 _models: dict[str, Model] = {}
 
 
-def predictor(spark: SparkSession, model: Model):
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A column function text -> struct(lang_pred, score)."""
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
     key = uuid.uuid4().hex
@@ -314,8 +412,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with all their columns, whose language is known with a posterior of ``least`` or more."""
     guess = predictor(df.sparkSession, model)
-    marked = df.withColumn("__guess", guess(F.col(text_col).cast("string")))
-    return marked.where((F.col("__guess.lang_pred") != "und") & (F.col("__guess.score") >= least)).drop("__guess")
+    (g,) = unused(df, "guess")
+    marked = df.withColumn(g, guess(F.col(text_col).cast("string")))
+    return marked.where((F.col(f"{g}.lang_pred") != "und") & (F.col(f"{g}.score") >= least)).drop(g)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """MinHash near duplicates against brute force; language identification against sums over all cuts, and held-out accuracy."""
 
+import base64
 import itertools
 import math
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -138,6 +140,103 @@ def test_forward_sums_all_cuts():
         assert np.allclose(model.word_scores([word])[0], np.log(want))
 
 
+@pytest.fixture(scope="module")
+def tiny(tmp_path_factory):
+    """A vocabulary of all bytes and a few longer pieces, one of them very long."""
+    pieces = [bytes([k]) for k in range(256)] + [b"th", b"the", b" th", b"he", b"in", b" i", b"ing", b"en", b"n" * 30, "\u00e9".encode()]
+    path = tmp_path_factory.mktemp("v") / "tiny.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % k for k, p in enumerate(pieces)))
+    return str(path), pieces
+
+
+def cuts_of(raw, pieces, at=0):
+    """Every way to cut ``raw[at:]`` into pieces, as lists of their numbers."""
+    if at == len(raw):
+        yield []
+    for k, p in enumerate(pieces):
+        if raw.startswith(p, at):
+            for rest in cuts_of(raw, pieces, at + len(p)):
+                yield [k, *rest]
+
+
+def brute_model(rows, pieces, rounds, smoothing=0.01):
+    """Expectation maximisation by listing all cuts."""
+    langs = sorted({lang for _, lang in rows})
+    p = {lang: [1 / len(pieces)] * len(pieces) for lang in langs}
+    cuts = {w: list(cuts_of(language_id.encoded(w), pieces)) for t, _ in rows for w in language_id.words_of(t)}
+    for _ in range(rounds):
+        c = {lang: [smoothing] * len(pieces) for lang in langs}
+        for t, lang in rows:
+            for w in language_id.words_of(t):
+                each = [math.prod(p[lang][k] for k in cut) for cut in cuts[w]]
+                for cut, q in zip(cuts[w], each):
+                    for k in cut:
+                        c[lang][k] += q / sum(each)
+        p = {lang: [x / sum(c[lang]) for x in c[lang]] for lang in langs}
+    return langs, p
+
+
+def test_language_against_all_cuts(spark, tiny):
+    path, pieces = tiny
+    texts = {"aa": ["the thing then", "in the inn the", "nothing"], "bb": ["ein ein \u00e9t\u00e9 e\u0301", "nein nie", "hin"]}
+    rows = [(k * 10 + n, t, lang) for k, (lang, own) in enumerate(texts.items()) for n, t in enumerate(own * 3)]
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    langs, p = brute_model(learned, pieces, 3)
+    model = language_id.fit(frame(spark, rows), vocabulary=path, rounds=3)
+    assert model.langs == langs
+    for k, lang in enumerate(langs):
+        assert np.allclose(model.p[:-1, k], p[lang], rtol=1e-6)
+    asked = [(100, "nothing then", None), (101, "\u00e9 ein", None), (102, "z", None), (103, "9", None), (104, None, None)]
+    got = {r.doc_id: r for r in language_id.identify(frame(spark, rows + asked), model).collect()}
+    for i, t, _ in rows + asked:
+        words = language_id.words_of(t or "")
+        logs = [sum(math.log(sum(math.prod(p[lang][k] for k in cut) for cut in cuts_of(language_id.encoded(w), pieces))) for w in words) for lang in langs]
+        want = 1 / sum(math.exp(x - max(logs)) for x in logs) if words else 0.0
+        assert got[i].lang_pred == (langs[logs.index(max(logs))] if words else "und") and abs(got[i].score - want) < 1e-6
+
+
+def test_long_words(tiny):
+    """Words of any length, along their places and by length, with sums far below what a double holds."""
+    path, pieces = tiny
+    vocab = language_id.pieces(path)
+    rng = np.random.default_rng(4)
+    p = np.vstack([rng.random((vocab.n, 2)) ** 8 * 1e-9, np.zeros(2)])
+    model = language_id.Model(["a", "b"], p, path)
+    words = ["the" * 15, "n" * 62, "n" * 63, "n" * 64, "n" * 200, "thing" * 400]
+    a = model.word_scores(words)
+    assert np.isfinite(a).all() and a[-1].max() < -10_000
+    raw, lang, n = [language_id.encoded(w) for w in words], np.array([0, 1] * 3), np.arange(1, 7)
+    x = language_id.expected(vocab, raw, lang, n, p)
+    exact = [[Fraction(q) for q in p[:, k]] for k in (0, 1)]
+    for w, own in zip(raw, a):
+        for k in (0, 1):
+            f = [Fraction(1)]
+            for j in range(1, len(w) + 1):
+                f.append(sum((f[j - len(q)] * exact[k][z] for z, q in enumerate(pieces) if len(q) <= j and w[j - len(q) : j] == q), Fraction(0)))
+                if len(w) > 400 and j > 60:
+                    break
+            if len(f) == len(w) + 1:
+                want = math.log(f[-1].numerator) - math.log(f[-1].denominator)
+                assert abs(own[k] - want) < 1e-9 * abs(want)
+    size = np.array([len(q) for q in pieces] + [0])
+    assert np.isclose((x.sum(1) * size).sum(), sum(len(w) * k for w, k in zip(raw, n)))  # the pieces cover every byte
+    text = "the thing " * 300_000  # cut into sections
+    one, many = model._sum("the thing "), model._sum(text)
+    assert np.allclose(many, 300_000 * one)
+
+
+def test_marks_and_ties(spark, tiny):
+    assert language_id.words_of("\u0e17\u0e35\u0e48 \u0915\u093f e\u0301 a-b9c") == ["\u0e17\u0e35\u0e48", "\u0915\u093f", "e\u0301", "a", "b", "c"]
+    p = np.vstack([np.full((len(tiny[1]), 3), 0.001), np.zeros(3)])
+    model = language_id.Model(["a", "b", "c"], p, tiny[0])
+    assert model.predict(["some text"])[0] == ["a"] and abs(model.predict(["some text"])[1][0] - 1 / 3) < 1e-12
+    rows = frame(spark, [(1, "some text", "a"), (1, "some text", "a"), (2, "9", "a")]).withColumnRenamed("sig", "guess")
+    kept = language_id.keep_identified(rows, model, least=0.3)
+    assert kept.columns == rows.columns and [r.doc_id for r in kept.collect()] == [1, 1]
+    with pytest.raises(ValueError):
+        language_id.fit(frame(spark, [(k, "x", f"l{k}") for k in range(9)]), most_langs=3)
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.fit(docs, docs_per_lang=60, rounds=3)
