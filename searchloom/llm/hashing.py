@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -42,20 +43,54 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str | None], width: int = 5, group_bytes: int = 1 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+#: Bytes of a long text that are cut into words at a time.
+SECTION = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _sections(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a section at a time."""
+    at = 0
+    while at < len(raw):
+        end = SPACE.search(raw, at + SECTION) if len(raw) - at > SECTION else None
+        upto = end.start() if end else len(raw)
+        yield raw[at:upto].split()
+        at = upto
+
+
+def shingle_sets(texts: Iterable[str | None], width: int = 5, group_bytes: int = 1 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(place of the first text, sorted distinct 64-bit shingle hashes of each) for groups of texts.
 
     Words are what stands between ASCII white space, in ASCII lower case; a text of fewer than ``width``
-    words has its whole sequence as one shingle, and one without words none.
+    words has its whole sequence as one shingle, and one without words none. A long text is taken in sections.
     """
-    begin, docs, size = 0, [], 0
+    begin, docs, size, k = 0, [], 0, -1
     for k, t in enumerate(texts):
-        words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-        docs.append(words)
-        size += sum(map(len, words))
-        if size >= group_bytes or k == len(texts) - 1:
+        raw = (t or "").encode("utf-8", "surrogatepass").lower()
+        if len(raw) > SECTION:
+            if docs:
+                yield begin, _group_sets(docs, width)
+            yield k, [_long_set(raw, width)]
+            begin, docs, size = k + 1, [], 0
+            continue
+        docs.append(raw.split())
+        size += len(raw)
+        if size >= group_bytes:
             yield begin, _group_sets(docs, width)
             begin, docs, size = k + 1, [], 0
+    if docs:
+        yield begin, _group_sets(docs, width)
+
+
+def _long_set(raw: bytes, width: int) -> np.ndarray:
+    last, parts = [], []
+    for words in _sections(raw):
+        if len(last) + len(words) >= width:
+            parts += _group_sets([last + words], width)
+        last = (last + words)[1 - width :] if width > 1 else []
+    if not parts:
+        parts = _group_sets([last], width)  # under ``width`` words in all
+    return np.unique(np.concatenate(parts))
 
 
 def _group_sets(docs: list[list[bytes]], width: int) -> list[np.ndarray]:

@@ -8,15 +8,18 @@ and a link is confirmed on the full shingle sets: 100 * |intersection| >= percen
 Scale and skew. Documents with the same set (by a 128-bit digest of the whole set and its size) are one
 class; one representative of each goes on, so thousands of copies cost one row. Within a band's bucket only
 pairs with the bucket's smallest and largest id are formed - linear in the bucket - and confirmed. Then
-connected components are found. Buckets that still hold several components are taken up once more: of members
-whose signatures agree nearly enough with one of another component, the full sets are compared inside the bucket,
-and a spanning forest of the links across components is given out (links within a component change nothing and
-are not tested). So no link between different texts is lost beyond the chance, under 1e-6 at the threshold, that
-no band is shared or that signatures agree in fewer coordinates than expected by 5 standard deviations.
+connected components are found. Buckets that still hold several components are taken up once more, dealt to tasks of
+at most two blocks of members such that every member outside the bucket's largest component meets every other one:
+of members whose signatures agree nearly enough with one of another component, the full sets are compared, and a
+spanning forest of the links across components is given out (links within a component change nothing and are not
+tested). So no link between different texts is lost beyond two chances at the threshold: that no band is shared,
+under 1e-6 as the number of bands follows from the threshold, and that signatures agree in fewer coordinates than
+expected by 5 standard deviations.
 
 Defined results: null text, or text without words, has an empty set, links with nothing and is its own
 component. Rows that share an id are one document. A row without id links with nothing, has a null
-component and is kept. An empty table gives an empty result. Other columns are not read.
+component and is kept. ``keep_one`` leaves one of the rows that share a kept id and the text. A text of any length
+is cut into words section by section. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm.common import Scratch, connected_components
+from searchloom.llm.common import Scratch, clean_text, connected_components, unused
 from searchloom.llm.hashing import mix, shingle_sets
 
-BANDS, ROWS = 24, 5
+ROWS = 5
+#: Chance that a pair at the threshold shares no band.
+MISS = 1e-6
+#: Members of a bucket in a block.
+BLOCK = 512
 SHIFT = np.uint32(1)
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Bands that leave a pair at the threshold without a common one with a chance below ``MISS``."""
+    p = min((percent / 100) ** rows, 1 - 1e-9)
+    return math.ceil(math.log(MISS) / math.log(1 - p))
+
+
 def _pi(x: np.ndarray) -> np.ndarray:
     """The second permutation: a bijection of 32-bit numbers."""
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
@@ -64,7 +77,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for begin, sets in shingle_sets([t.as_py() for t in b.column(1)], width):
+            for begin, sets in shingle_sets((t.as_py() for t in b.column(1)), width):
                 n = np.array([len(s) for s in sets], np.int64)
                 d1, d2 = (np.array([mix(s, k).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in (21, 22))
                 some = np.flatnonzero(n)
@@ -84,7 +97,7 @@ def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for begin, own in shingle_sets([t.as_py() for t in b.column(1)], width):
+            for begin, own in shingle_sets((t.as_py() for t in b.column(1)), width):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(own)), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], ["id", "shingles"])
 
     return docs.mapInArrow(sets, "id long, shingles array<long>")
@@ -97,8 +110,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members(key, id, component, sig)`` of buckets with several components, as tasks (key, i, j): every row outside
+    its bucket's largest component meets every row of the bucket. Blocks of those rows come first."""
+    per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    size = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    size = size.where(F.col("all") > F.col("top.n")).select(F.col("key").alias("k"), F.col("top.component").alias("largest"), blocks(F.col("all") - F.col("top.n")).alias("outer"), blocks(F.col("top.n")).alias("inner"))
+    rows = members.join(size, F.col("key") == F.col("k")).withColumn("far", F.col("component") != F.col("largest"))
+    own = F.when(F.col("far"), F.pmod(F.xxhash64("id"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inner"))).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(F.col("far"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1))
+    rows = rows.withColumn("own", own).withColumn("met", met)
+    return rows.select("key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "id", "component", "sig")
+
+
 def _plausible(least: int):
-    """Members of a bucket that agree with one of another component in ``least`` coordinates or more."""
+    """Members of a task that agree with one of another component in ``least`` coordinates or more."""
 
     def plausible(t: pa.Table) -> pa.Table:
         _, label = np.unique(t.column("component").to_numpy(), return_inverse=True)
@@ -108,7 +135,7 @@ def _plausible(least: int):
             hit = (label != label[k]) & ((sig == sig[k]).sum(1) >= least)
             near |= hit
             near[k] |= hit.any()
-        return t.select(["key", "id", "component"]).filter(pa.array(near))
+        return t.select(["key", "i", "j", "id", "component"]).filter(pa.array(near))
 
     return plausible
 
@@ -145,9 +172,10 @@ def _across(percent: int):
 
 
 def near_dup(
-    df: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, percent: int = 80, width: int = 5, bands: int | None = None, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
+    bands = bands or bands_for(percent, rows)
     spark = df.sparkSession
     scratch = Scratch(spark, "near-dup")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -180,12 +208,13 @@ def near_dup(
 
     # buckets that still hold several components
     marked = bucketed.select("key", "id", "n_shingles").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
     p = percent / 100
     least = max(1, math.ceil(bands * rows * p - 5 * math.sqrt(bands * rows * p * (1 - p))))
-    unsettled = marked.join(open_keys, "key", "left_semi").join(reps.select("id", "sig"), "id").select("key", "id", "component", "sig")
-    unsettled = unsettled.groupBy("key").applyInArrow(_plausible(least), "key long, id long, component long").join(sets, "id")
-    extra = scratch.write(unsettled.groupBy("key").applyInArrow(_across(percent), "a long, b long").distinct(), "links")
+    open_keys = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    unsettled = scratch.write(marked.join(open_keys, "key", "left_semi").join(reps.select("id", "sig"), "id").select("key", "id", "component", "sig"), "unsettled")
+    task = ["key", "i", "j"]
+    near = _dealt(unsettled).groupBy(*task).applyInArrow(_plausible(least), "key long, i int, j int, id long, component long").join(sets, "id")
+    extra = scratch.write(near.groupBy(*task).applyInArrow(_across(percent), "a long, b long").distinct(), "links")
     if not extra.isEmpty():
         found = scratch.write(connected_components(spark, edges.union(extra), scratch), "components")
 
@@ -199,9 +228,13 @@ def near_dup(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, with all their columns, that are kept: one document of each group."""
-    keep = near_dup(df, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("__keep"))
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """The rows of ``df``, with all their columns, that are kept: one document of each group, and rows without id."""
+    keep_id, digest = unused(df, "keep_id", "digest")
+    keep = near_dup(df, id_col=id_col, text_col=text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(keep_id)).distinct()
+    out = df.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(keep_id), "left_semi")
+    if not df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        out = out.withColumn(digest, F.sha2(clean_text(F.col(text_col)), 256)).dropDuplicates([id_col, digest]).drop(digest)
+    return out.unionByName(df.where(F.col(id_col).isNull()))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

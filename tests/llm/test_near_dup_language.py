@@ -112,6 +112,36 @@ def test_near_dup_small(spark, percent):
         n[i].add(len(shingles(t)))
     assert all(r.n_shingles in n[r.doc_id] for r in out)
     assert near_dup.near_dup(frame(spark, [])).collect() == []
+    rows = frame(spark, [(i, t, "en") for i, t in data]).withColumnRenamed("sig", "keep_id").withColumnRenamed("rep", "digest")
+    kept = near_dup.keep_one(rows, percent=percent)
+    assert kept.columns == rows.columns
+    left = {(i, t or "") for i, t in data if i is not None and want[i] == i}
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect() if r.doc_id is not None) == sorted(left)
+
+
+def test_bands():
+    assert [near_dup.bands_for(p) for p in (80, 85, 100)] == [35, 24, 1]
+
+
+def test_buckets_in_blocks(spark, monkeypatch):
+    """Small blocks: texts that share half of their words and thus buckets, chains among them."""
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    data = near_copies()
+    for percent in (60, 80):
+        want = brute(data, percent)
+        out = near_dup.near_dup(frame(spark, [(i, t, "en") for i, t in data]), percent=percent).collect()
+        assert all(r.component_id == want[r.doc_id] for r in out if r.doc_id is not None)
+
+
+def test_long_text_in_sections(monkeypatch):
+    monkeypatch.setattr(hashing, "SECTION", 50)
+    texts = ["w%d " % (k % 700) * 1 for k in range(3)] + [" ".join(f"w{k % 300}" for k in range(2000)), "x" * 5000, "a b" + " " * 400 + "c", None, "A b\tc d e f " * 40]
+    got = {}
+    for begin, sets in hashing.shingle_sets(texts):
+        got |= {begin + k: s for k, s in enumerate(sets)}
+    monkeypatch.setattr(hashing, "SECTION", 1 << 20)
+    want = [s for _, sets in hashing.shingle_sets(texts) for s in sets]
+    assert sorted(got) == list(range(len(texts))) and all((got[k] == w).all() and len(w) == len(shingles(texts[k])) for k, w in enumerate(want))
 
 
 def test_near_dup_table(spark, sf_dir):
