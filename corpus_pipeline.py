@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from searchloom.llm import exact_dedup, language_id, mixing, near_dup, packing
-from searchloom.llm.common import Scratch
+from searchloom.llm.common import Scratch, released
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with released(spark):
+            out = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)  # a stage's rows go once the next one's are written
+        docs = out
     return docs
 
 
