@@ -40,7 +40,7 @@ LONG_WORD = 64
 #: Characters of a text that are cut into words at a time.
 SECTION = 1 << 20
 #: Entries and bytes of a worker's table of words that it has scored; it is emptied when full. Longer parts aren't entered.
-TABLE_ENTRIES, TABLE_BYTES, LONGEST_KEPT = 200_000, 32 << 20, 64
+TABLE_ENTRIES, TABLE_BYTES, LONGEST_KEPT = 400_000, 32 << 20, 64
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HASH_BASE, HASH_MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 HASH_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
@@ -279,38 +279,44 @@ class Model:
             self.table = grown
         self.table[begin : begin + len(parts)] = new
 
-    def _sum(self, text: str) -> np.ndarray:
-        """Sum of the scores of a text's words, and how many words."""
+    def _enter(self, texts: list[str]) -> list[list[str]]:
+        """The parts of some texts between white space, all but very long ones entered in the table."""
+        cut = [t.split() for t in texts]
+        every = {p for p in set().union(*cut) if len(p) <= LONGEST_KEPT}
+        new = every.difference(self.row)
+        if new and len(self.row) + len(new) > self.capacity:
+            self._start()
+            new = every
+        if new:
+            self._learn(new)
+        return cut
+
+    def _sum(self, parts: list[str]) -> np.ndarray:
+        """Sum of the scores of the words of parts, and how many words."""
         out = np.zeros(len(self.langs) + 1)
-        for part in sections(text):
-            parts = part.split()
-            odd = [p for p in parts if len(p) > LONGEST_KEPT]
-            if odd:
-                parts = [p for p in parts if len(p) <= LONGEST_KEPT]
-                for p in odd:
-                    ws = words_of(p)
-                    if ws:
-                        out[:-1] += self.word_scores(ws).sum(0)
-                        out[-1] += len(ws)
-            new = set(parts).difference(self.row)
-            if new and len(self.row) + len(new) > self.capacity:
-                self._start()
-                new = set(parts)
-            if new:
-                self._learn(new)
-            if parts:
-                out += self.table[np.fromiter(map(self.row.__getitem__, parts), np.int64, len(parts))].sum(0)
+        odd = [p for p in parts if len(p) > LONGEST_KEPT]
+        for p in odd:
+            ws = words_of(p)
+            if ws:
+                out[:-1] += self.word_scores(ws).sum(0)
+                out[-1] += len(ws)
+        if odd:
+            parts = [p for p in parts if len(p) <= LONGEST_KEPT]
+        if parts:
+            out += self.table[np.fromiter(map(self.row.__getitem__, parts), np.int64, len(parts))].sum(0)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        # words of all short texts are scored together
-        new = set().union(*[t.split() for t in texts if t and len(t) <= SECTION]).difference(self.row)
-        new = {p for p in new if len(p) <= LONGEST_KEPT}
-        if new and len(self.row) + len(new) <= self.capacity:
-            self._learn(new)
-        sums = np.array([self._sum(t) if t else np.zeros(len(self.langs) + 1) for t in texts])
+        sums = np.zeros((len(texts), len(self.langs) + 1))
+        short = [k for k, t in enumerate(texts) if t and len(t) <= SECTION]
+        for k, parts in zip(short, self._enter([texts[k] for k in short])):  # their words are scored together
+            sums[k] = self._sum(parts)
+        for k, t in enumerate(texts):
+            if t and len(t) > SECTION:
+                for section in sections(t):
+                    sums[k] += self._sum(self._enter([section])[0])
         logs = sums[:, :-1]
         best = logs.argmax(1)
         score = 1 / np.exp(np.maximum(logs - logs.max(1, keepdims=True), -700)).sum(1)

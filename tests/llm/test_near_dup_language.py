@@ -251,8 +251,9 @@ def test_long_words(tiny):
     size = np.array([len(q) for q in pieces] + [0])
     assert np.isclose((x.sum(1) * size).sum(), sum(len(w) * k for w, k in zip(raw, n)))  # the pieces cover every byte
     text = "the thing " * 300_000  # cut into sections
-    one, many = model._sum("the thing "), model._sum(text)
-    assert np.allclose(many, 300_000 * one)
+    entered = sum(model._sum(model._enter([x])[0]) for x in language_id.sections(text))
+    assert np.allclose(entered, 300_000 * model._sum(model._enter(["the thing "])[0]))
+    assert model.predict([text, "the thing", "the " + "n" * 500])[0] == [model.predict([x])[0][0] for x in (text, "the thing", "the " + "n" * 500)]
 
 
 def test_marks_and_ties(spark, tiny):
