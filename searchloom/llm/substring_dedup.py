@@ -6,18 +6,22 @@ hash, which depends on the window's bytes alone, so equal windows have equal anc
 windows of one anchor occurrence are consecutive: a run. That splits the sort of all suffixes into one
 small sort for each anchor value:
 
-1. Scan. Runs of equal anchor and equal bytes (a class) are combined in the task: all but the earliest go.
-   What remains is dealt by anchor hash, packed as arrays.
+1. Scan. Runs of equal anchor and equal bytes (a class, told apart by a 128-bit BLAKE2 digest of the bytes)
+   are combined in the task: all but the earliest go. What remains is dealt by anchor hash, packed as arrays.
 2. By anchor hash. An anchor met once settles its run. Classes are combined again. If an anchor still has
    several classes, their bytes are asked for - only those runs.
 3. Suffix sort. Windows of the classes of an anchor are sorted by mergesort. Two suffixes are compared by a
-   binary search on prefix polynomial hashes for their common extension, and the next byte; where a whole
-   window is equal, its bytes are compared as well, so a hash collision removes nothing.
+   binary search on prefix polynomial hashes for their common extension, which is then verified byte by byte,
+   and by the next byte: a hash collision changes neither the order nor what is removed.
 4. The spans found are joined to the texts.
 
+So polynomial hashes only deal and speed up; strings count as equal by their bytes, or by equal 128-bit BLAKE2
+digests of their bytes where the bytes themselves do not travel.
+
 Skew. A common passage is one row per task in step 2. Anchors at the edge of a passage that very many
 documents share have a class for each document; where a task or an anchor has more than a few, their
-windows are dealt one by one, by two independent 64-bit hashes of the window, combined in each task first.
+windows are dealt one by one, by the digest of the window, combined in each task first. Very long texts
+are hashed in sections.
 
 Defined results: null text is empty; a row without id is left whole and takes no part; rows that share an
 id and the text are one document; texts that share an id are one document in the order of byte positions,
@@ -29,6 +33,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +54,14 @@ class Limits:
     sort_classes: int = 500  #: classes of one anchor that one suffix sort takes
     flush_runs: int = 250_000  #: runs that a scan task combines at a time
     group_bytes: int = 1 << 19  #: text hashed at a time
+    section_bytes: int = 1 << 21  #: windows of a long text hashed at a time
     bucket_bytes: int = 4 << 20  #: estimated input bytes for each bucket
     least_buckets: int = 64
+    hash_bits: int = 64  #: of the polynomial hashes that deal and that speed up comparisons; fewer mean more collisions
 
 
-RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("p", "<i4"), ("tk", "<i4"), ("a", "u1"), ("b", "u1"), ("hot", "u1")])
+RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("p", "<i4"), ("tk", "<i4"), ("a", "u1"), ("b", "u1"), ("hot", "u1")])
+CLASS = ("h", "c", "c2", "a", "b")
 WINDOW = np.dtype([("w", "<u8"), ("v", "<u8"), ("doc", "<i8"), ("s", "<i4"), ("tk", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("tk", "<i4"), ("s", "<i4"), ("e", "<i4")])
 RUNS, WINDOWS, SPANS, ASK_BYTES, ASK_WINDOWS = range(5)
@@ -104,7 +112,7 @@ def _leftmost(grams: np.ndarray, least: np.ndarray, starts: np.ndarray, width: i
 
 
 def runs_of(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, last window, anchor, hash of anchor, hash of the run's bytes) of all runs.
+    """(document, first window, last window, anchor, hash of anchor) of all runs.
 
     ``buffer`` holds documents of at least ``length`` bytes, at begins:ends.
     """
@@ -135,22 +143,14 @@ def runs_of(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
         s2[ties] = at[ties]
         s1, s2, at = np.r_[s1, rest[new]], np.r_[s2, rest[np.r_[new[1:], len(rest)] - 1]], np.r_[at, own[new]]
     doc = np.searchsorted(begins, s1, "right") - 1
-    whole = (big[s2 + length] - big[s1]) * down[s1]
-    c = mix(whole + ((at - s1).astype(np.uint64) << np.uint64(8)) + (at - s2).astype(np.uint64), 9)
-    return doc, s1, s2, at, grams[at], c
+    return doc, s1, s2, at, grams[at]
 
 
-def window_hashes(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the windows at ``starts``."""
-    raw = np.frombuffer(text, np.uint8)
-    out = []
-    for flip in (0, 255):  # the second over other byte values, backwards
-        x = raw if not flip else (raw ^ flip)[::-1]
-        at = starts if not flip else len(raw) - starts - length
-        big = prefix_hashes(x)
-        _, down = powers(len(raw))
-        out.append(mix((big[at + length] - big[at]) * down[at], 31 + flip))
-    return out[0], out[1]
+def digests(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digests, as pairs of 64-bit numbers, of some strings of a text."""
+    own = hashlib.blake2b
+    raw = b"".join([own(text[i:j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)
 
 
 def combine(rows: np.ndarray, keys: tuple[str, ...], order: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def spans(doc: np.ndarray, tk: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.n
 
 def _scan(length: int, gram: int, buckets: int, limits: Limits):
     def flush(rows: np.ndarray, texts: dict[tuple[int, int], bytes]) -> Iterator[pa.RecordBatch]:
-        by_h, first, later = combine(rows, ("h", "c"), ("doc", "p"))
+        by_h, first, later = combine(rows, CLASS, ("doc", "p"))
         rest = by_h[later]
         yield packed(SPANS, spans(rest["doc"], rest["tk"], rest["p"] - rest["a"], rest["p"] - rest["b"] + length))
         own = by_h[first]
@@ -202,37 +202,50 @@ def _scan(length: int, gram: int, buckets: int, limits: Limits):
                 out.append(windows_of(texts[int(part["doc"][0]), int(part["tk"][0])], part, length))
             yield from window_batches(np.concatenate(out), buckets, length)
             flag = own[many & new].copy()
-            flag["hot"], flag["c"] = 1, 0
+            flag["hot"], flag["c"], flag["c2"] = 1, 0, 0
             own = np.concatenate([own[~many], flag])
         yield packed(RUNS, own, (own["h"] % np.uint64(buckets)).astype(np.int64))
 
+    def pieces_of(ids: list, tks: list, column: pa.Array, texts: dict) -> Iterator[tuple[int, int, int, bytes]]:
+        """Texts, long ones as sections that share no window."""
+        for i, tk, t in zip(ids, tks, column):
+            raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+            if len(raw) >= length:
+                for at in range(0, len(raw) - length + 1, limits.section_bytes):
+                    texts[i, tk] = raw
+                    yield i, tk, at, raw[at : at + limits.section_bytes + length - 1]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
         texts: dict[tuple[int, int], bytes] = {}
         n = 0
         for b in batches:
-            group: list[tuple[int, int, bytes]] = []
+            group: list[tuple[int, int, int, bytes]] = []  # (document, tie key, place in the text, bytes)
             size = 0
             ids, tks = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k, t in enumerate(b.column(2)):
-                raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-                if len(raw) >= length:
-                    group.append((ids[k], tks[k], raw))
-                    texts[ids[k], tks[k]] = raw
-                    size += len(raw)
-                if group and (size >= limits.group_bytes or k == len(ids) - 1):
-                    sizes = np.array([len(g[2]) for g in group])
+            todo: Iterator[tuple[int, int, int, bytes]] = pieces_of(ids, tks, b.column(2), texts)
+            for piece in chain(todo, [None]):
+                if piece:
+                    group.append(piece)
+                    size += len(piece[3])
+                if group and (size >= limits.group_bytes or piece is None):
+                    sizes = np.array([len(g[3]) for g in group])
                     begins = np.r_[0, np.cumsum(sizes)[:-1]]
-                    doc, s1, s2, at, h, c = runs_of(np.frombuffer(b"".join([g[2] for g in group]), np.uint8), begins, begins + sizes, length, gram)
+                    buffer = b"".join([g[3] for g in group])
+                    doc, s1, s2, at, h = runs_of(np.frombuffer(buffer, np.uint8), begins, begins + sizes, length, gram)
                     rows = np.zeros(len(doc), RUN)
-                    rows["h"], rows["c"], rows["a"], rows["b"] = h, c, at - s1, at - s2
-                    rows["doc"], rows["tk"], rows["p"] = np.array([g[0] for g in group])[doc], np.array([g[1] for g in group])[doc], at - begins[doc]
+                    rows["h"], rows["a"], rows["b"] = h >> np.uint64(64 - limits.hash_bits), at - s1, at - s2
+                    c = digests(buffer, s1, s2 + length)
+                    rows["c"], rows["c2"] = c[:, 0], c[:, 1]
+                    of = [np.array([g[k] for g in group])[doc] for k in range(3)]
+                    rows["doc"], rows["tk"], rows["p"] = of[0], of[1], at - begins[doc] + of[2]
                     kept.append(rows)
                     n += len(rows)
                     group, size = [], 0
                     if n >= limits.flush_runs:
                         yield from flush(np.concatenate(kept), texts)
-                        kept, texts, n = [], {}, 0
+                        kept, n = [], 0
+                        texts.clear()
         if n:
             yield from flush(np.concatenate(kept), texts)
 
@@ -245,7 +258,8 @@ def windows_of(text: bytes, runs: np.ndarray, length: int) -> np.ndarray:
     n = hi - lo + 1
     starts = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     out = np.zeros(len(starts), WINDOW)
-    out["w"], out["v"] = window_hashes(text, starts, length)
+    c = digests(text, starts, starts + length)
+    out["w"], out["v"] = c[:, 0], c[:, 1]
     out["doc"], out["tk"], out["s"] = runs["doc"][0], runs["tk"][0], starts
     return out
 
@@ -272,7 +286,7 @@ def _by_anchor(length: int, buckets: int, limits: Limits):
         through = np.flatnonzero(kind == WINDOWS)
         if len(through):
             out += window_batches(unpacked([data[k] for k in through], WINDOW), buckets, length)
-        rows, first, later = combine(unpacked([data[k] for k in np.flatnonzero(kind == RUNS)], RUN), ("h", "c"), ("doc", "p"))
+        rows, first, later = combine(unpacked([data[k] for k in np.flatnonzero(kind == RUNS)], RUN), CLASS, ("doc", "p"))
         rest = rows[later & (rows["hot"] == 0)]
         out.append(packed(SPANS, spans(rest["doc"], rest["tk"], rest["p"] - rest["a"], rest["p"] - rest["b"] + length)))
         rows = rows[first]
@@ -333,8 +347,8 @@ def _answer(length: int, buckets: int, sorts: int):
 class SuffixOrder:
     """Suffixes of a buffer, compared over at most ``length`` bytes through prefix hashes."""
 
-    def __init__(self, buffer: np.ndarray, length: int):
-        self.buffer, self.length = buffer, length
+    def __init__(self, buffer: np.ndarray, length: int, bits: int = 64):
+        self.buffer, self.length, self.drop = buffer, length, np.uint64(64 - bits)
         self.big = prefix_hashes(buffer)
         self.down = powers(len(buffer))[1]
 
@@ -346,12 +360,21 @@ class SuffixOrder:
         while True:
             todo = low < high
             if not todo.any():
-                return low
+                return self._verified(x, y, low)
             mid = (low + high + 1) >> 1
-            same = (big[x + mid] - hx) * dx == (big[y + mid] - hy) * dy
+            same = (big[x + mid] - hx) * dx >> self.drop == (big[y + mid] - hy) * dy >> self.drop
             low = np.where(todo & same, mid, low)
             high = np.where(todo & ~same, mid - 1, high)
 
+    def _verified(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The extensions up to the first byte that differs: ``n`` unless hashes collided."""
+        step, out = np.arange(self.length), n.copy()
+        for i in range(0, len(x), 20_000):
+            own = slice(i, i + 20_000)
+            other = self.buffer[x[own, None] + step] != self.buffer[y[own, None] + step]
+            out[own] = np.where(other.any(1), other.argmax(1), self.length)
+        return out
+
     def less(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(x < y, x == y) over ``length`` bytes."""
         n = self.common(x, y)
@@ -393,7 +416,7 @@ class SuffixOrder:
         return order
 
 
-def repeated_windows(rows: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(rows: np.ndarray, length: int, bits: int = 64) -> np.ndarray:
     """Spans of the windows of ``rows`` (runs with their bytes) that also start earlier among them."""
     rows = rows[np.lexsort((rows["p"], rows["doc"], rows["h"]))]
     buffer = np.frombuffer(rows["text"].tobytes(), np.uint8)
@@ -407,25 +430,19 @@ def repeated_windows(rows: np.ndarray, length: int) -> np.ndarray:
     h = rows["h"][row]
     group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (place[1:] != place[:-1])])
     at = row * (2 * length) + off
-    order = SuffixOrder(buffer, length)
+    order = SuffixOrder(buffer, length, bits)
     sort = order.sort(at, group)
     x, y = at[sort[:-1]], at[sort[1:]]
     equal = np.flatnonzero((group[sort[:-1]] == group[sort[1:]]) & (order.common(x, y) == length))
-    # equal hashes, now the bytes themselves
-    same = np.zeros(len(equal), bool)
-    for i in range(0, len(equal), 20_000):
-        part = equal[i : i + 20_000]
-        step = np.arange(length)
-        same[i : i + 20_000] = (buffer[x[part][:, None] + step] == buffer[y[part][:, None] + step]).all(1)
-    later = sort[1:][equal[same]]
+    later = sort[1:][equal]
     r = rows[row[later]]
     s = r["p"] - r["a"] + off[later]
     return spans(r["doc"], r["tk"], s, s + length)
 
 
-def _suffix_sort(length: int, piece: np.dtype):
+def _suffix_sort(length: int, piece: np.dtype, bits: int):
     def sort(t: pa.Table) -> pa.Table:
-        return _table([packed(SPANS, repeated_windows(unpacked(t.column("data").to_pylist(), piece), length))])
+        return _table([packed(SPANS, repeated_windows(unpacked(t.column("data").to_pylist(), piece), length, bits))])
 
     return sort
 
@@ -475,9 +492,11 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, limit
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (byte spans)."""
     spark = df.sparkSession
     scratch = Scratch(spark, "substring-dedup")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(limits.least_buckets, size // limits.bucket_bytes) if size < 1 << 55 else 4 * limits.least_buckets  # no estimate
     text = clean_text(F.col(text_col))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 55:  # no estimate
+        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(limits.least_buckets, size // limits.bucket_bytes)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tk"), text.alias("t"))
     long_docs = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("t") >= length)).select("doc_id", "tk", F.col("t").cast("binary").alias("t"))
     settled = scratch.write(long_docs.mapInArrow(_scan(length, gram, buckets, limits), PACKED).groupBy("bucket").applyInArrow(_by_anchor(length, buckets, limits), PACKED), "settled")
@@ -486,7 +505,7 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, limit
     answer, piece = _answer(length, buckets, 4 * buckets)  # a sort's bucket is a quarter of a scan's: it takes more memory a byte
     asked = long_docs.join(asks, (F.col("doc_id") == F.col("g_doc")) & (F.col("tk") == F.col("g_tk"))).select("t", "asks")
     answers = scratch.write(asked.mapInArrow(answer, PACKED), "answers")
-    sorted_spans = answers.where(F.col("kind") == ASK_BYTES).groupBy("bucket").applyInArrow(_suffix_sort(length, piece), PACKED)
+    sorted_spans = answers.where(F.col("kind") == ASK_BYTES).groupBy("bucket").applyInArrow(_suffix_sort(length, piece, limits.hash_bits), PACKED)
     windows = settled.where(F.col("kind") == WINDOWS).union(answers.where(F.col("kind") == WINDOWS)).groupBy("bucket").applyInArrow(_by_window(length), PACKED)
     found = settled.where(F.col("kind") == SPANS).union(answers.where(F.col("kind") == SPANS)).union(sorted_spans).union(windows)
     per_doc = found.mapInArrow(_open_spans, "g_doc long, g_tk int, spans binary").groupBy("g_doc", "g_tk").agg(F.collect_list("spans").alias("spans"))

@@ -32,10 +32,10 @@ def test_suffix_order():
     buffer[1000:2000] = buffer[:1000]
     at = rng.permutation(3800)
     group = np.sort(rng.integers(0, 40, 3800))
-    order = sd.SuffixOrder(buffer, 100).sort(at, group)
     raw = buffer.tobytes()
     want = sorted(range(3800), key=lambda k: (group[k], raw[at[k] : at[k] + 100], k))
-    assert order.tolist() == want
+    for bits in (64, 8, 1):  # collisions are found out
+        assert sd.SuffixOrder(buffer, 100, bits).sort(at, group).tolist() == want
 
 
 def test_runs_cover_all_windows():
@@ -43,7 +43,7 @@ def test_runs_cover_all_windows():
     docs = [bytes(rnd.choice(b"abcd ") for _ in range(n)) for n in (100, 101, 350, 2000)] + [b"a" * 500, b"ab" * 400]
     sizes = np.array([len(d) for d in docs])
     begins = np.r_[0, np.cumsum(sizes)[:-1]]
-    doc, s1, s2, at, h, c = sd.runs_of(np.frombuffer(b"".join(docs), np.uint8), begins, begins + sizes, 100, 24)
+    doc, s1, s2, at, h = sd.runs_of(np.frombuffer(b"".join(docs), np.uint8), begins, begins + sizes, 100, 24)
     seen = sorted((int(d), int(s) - int(begins[d])) for d, a, b in zip(doc, s1, s2) for s in range(a, b + 1))
     assert seen == [(k, s) for k, d in enumerate(docs) for s in range(len(d) - 99)]
     assert ((at >= s2) & (at <= s1 + 76)).all()
@@ -67,9 +67,9 @@ def texts():
     return data
 
 
-@pytest.mark.parametrize(("task_classes", "sort_classes", "flush"), [(4, 500, 1_000_000), (1, 3, 200), (1000, 2, 500), (1000, 500, 100)])
-def test_against_every_window(spark, task_classes, sort_classes, flush):
-    limits = sd.Limits(task_classes, sort_classes, flush, group_bytes=5000, least_buckets=3)
+@pytest.mark.parametrize(("task_classes", "sort_classes", "flush", "bits"), [(4, 500, 1_000_000, 64), (1, 3, 200, 64), (10**6, 10**6, 500, 8), (1000, 500, 100, 8)])
+def test_against_every_window(spark, task_classes, sort_classes, flush, bits):
+    limits = sd.Limits(task_classes, sort_classes, flush, group_bytes=5000, section_bytes=700, least_buckets=3, hash_bits=bits)
     data = texts()
     random.Random(1).shuffle(data)
     df = spark.createDataFrame([(i, t, "x", "y", "z", 1) for i, t in data], SCHEMA).repartition(4)
