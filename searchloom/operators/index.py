@@ -49,43 +49,45 @@ def merge_forward(*batches: DataFrame) -> DataFrame:
 # inverted
 
 
-def _counted(docs: DataFrame, zone: Column, name: str) -> DataFrame:
-    return docs.select("doc_id", F.explode(zone).alias("word"), F.lit(name).alias("zone"), F.lit(None).cast("int").alias("pos"))
+def _zone(tokens: Column, name: str) -> Column:
+    return F.transform(tokens, lambda w: F.struct(w.alias("word"), F.lit(name).alias("zone"), F.lit(None).cast("int").alias("pos")))
+
+
+def _positions() -> Column:
+    """The first positions of a word in a document; a list is bounded by the document's length."""
+    return F.slice(F.sort_array(F.collect_list("pos")), 1, MAX_POSITIONS)
 
 
 def html_postings(pages: DataFrame, lexicon: DataFrame | None = None, anchors: DataFrame | None = None) -> DataFrame:
     """word, doc_id, positions, n_title, n_meta, n_heading, n_total, n_anchor, in_domain, in_url, doc_len.
 
     Words of the page, and those of its address, which may have no count; with a lexicon only its words.
-    ``anchors(url, anchor_text)``: text of links to a page, looked up by the address as it is. One shuffle
-    counts all zones together; positions are the first 15.
+    ``anchors(url, anchor_text)``: text of links to a page, looked up by the address as it is. A page is read and
+    stripped once: its zones are one array of (word, zone, position), and one shuffle counts them all. Positions are
+    the first 15.
     """
-    url = F.coalesce("url", F.lit(""))
-    docs = pages.select(F.concat(F.lit("H"), F.col("page_id")).alias("doc_id"), url.alias("url"), "html")
-    docs = docs.withColumn("tokens", T.doc_tokens(T.html_text(F.col("html"))))
+    docs = pages.select(F.concat(F.lit("H"), F.col("page_id")).alias("doc_id"), F.coalesce("url", F.lit("")).alias("url"), F.col("url").alias("own_url"), "html")
+    if anchors is not None:
+        docs = docs.join(anchors, "url", "left")
+    tokens = F.transform(T.doc_tokens(T.html_text(F.col("html"))), lambda w, i: F.struct(w.alias("word"), F.lit("total").alias("zone"), i.cast("int").alias("pos")))
     zones = [
-        docs.select("doc_id", F.posexplode("tokens").alias("pos", "word")).select("doc_id", "word", F.lit("total").alias("zone"), "pos"),
-        _counted(docs, T.doc_tokens(T.html_title(F.col("html"))), "title"),
-        _counted(docs, T.doc_tokens(T.html_description(F.col("html"))), "meta"),
-        _counted(docs, F.flatten(F.transform(T.html_headings(F.col("html")), T.doc_tokens)), "heading"),
-        _counted(docs, T.url_tokens(F.col("url")), "url"),
-    ]
+        F.col("tokens"), _zone(T.doc_tokens(T.html_title(F.col("html"))), "title"), _zone(T.doc_tokens(T.html_description(F.col("html"))), "meta"),
+        _zone(F.flatten(F.transform(T.html_headings(F.col("html")), T.doc_tokens)), "heading"), _zone(F.coalesce(T.url_tokens(F.col("own_url")), F.array().cast("array<string>")), "url"),
+    ]
     if anchors is not None:
-        linked = docs.select("doc_id", "url").join(anchors, "url")
-        zones.append(_counted(linked, T.doc_tokens(F.col("anchor_text")), "anchor"))
-    hits = zones[0]
-    for z in zones[1:]:
-        hits = hits.unionByName(z)
+        zones.append(_zone(T.doc_tokens(F.col("anchor_text")), "anchor"))
+    docs = docs.withColumn("tokens", tokens)
+    length = F.greatest(F.size("tokens"), F.lit(1)).alias("doc_len")
+    hits = docs.select("doc_id", urls.domain(F.col("url")).alias("domain"), urls.path(F.col("url")).alias("path"), length, F.explode(F.concat(*zones)).alias("x"))
+    hits = hits.select("doc_id", "domain", "path", "doc_len", "x.*")
     if lexicon is not None:
         hits = hits.join(lexicon.select("word"), "word", "left_semi")
     n = lambda zone: F.count_if(F.col("zone") == zone).cast("int")
-    counted = hits.groupBy("doc_id", "word").agg(
-        F.slice(F.sort_array(F.collect_list("pos")), 1, MAX_POSITIONS).alias("positions"), n("title").alias("n_title"), n("meta").alias("n_meta"), n("heading").alias("n_heading"),
-        n("total").alias("n_total"), n("anchor").alias("n_anchor"), F.max(F.col("zone") != "anchor").alias("own"),
+    out = hits.groupBy("doc_id", "word").agg(
+        _positions().alias("positions"), n("title").alias("n_title"), n("meta").alias("n_meta"), n("heading").alias("n_heading"), n("total").alias("n_total"), n("anchor").alias("n_anchor"),
+        F.max(F.col("zone") != "anchor").alias("own"), F.first("domain").alias("domain"), F.first("path").alias("path"), F.first("doc_len").alias("doc_len"),
     )
-    sizes = docs.select(F.col("doc_id").alias("d"), urls.domain(F.col("url")).alias("domain"), urls.path(F.col("url")).alias("path"), F.greatest(F.size("tokens"), F.lit(1)).alias("doc_len"))
-    out = counted.where("own").join(sizes, F.col("doc_id") == F.col("d"))
-    return out.select(
+    return out.where("own").select(
         "word", "doc_id", "positions", "n_title", "n_meta", "n_heading", "n_total", "n_anchor",
         F.col("domain").contains(F.col("word")).cast("int").alias("in_domain"), F.col("path").contains(F.col("word")).cast("int").alias("in_url"), "doc_len",
     )
@@ -116,7 +118,7 @@ def paper_postings(papers: DataFrame, lexicon: DataFrame | None = None) -> DataF
         hits = hits.join(lexicon.select("word"), "word", "left_semi")
     n = lambda g: F.count_if(F.col("g") == g).cast("int")
     return hits.groupBy("doc_id", "word").agg(
-        F.slice(F.sort_array(F.collect_list("pos")), 1, MAX_POSITIONS).alias("positions"), n(1).alias("g1"), n(2).alias("g2"), n(3).alias("g3"), F.count(F.lit(1)).cast("int").alias("n_total"), F.first("doc_len").alias("doc_len")
+        _positions().alias("positions"), n(1).alias("g1"), n(2).alias("g2"), n(3).alias("g3"), F.count(F.lit(1)).cast("int").alias("n_total"), F.first("doc_len").alias("doc_len")
     )
 
 
@@ -159,9 +161,10 @@ def first_postings(postings: DataFrame, k: int = 100) -> DataFrame:
 # barrels
 
 
-def barrel_sizes(lists: DataFrame) -> DataFrame:
-    """word, size: bytes of each posting list as JSON."""
-    return lists.select("word", F.octet_length(F.to_json("postings")).cast("long").alias("size"))
+def barrel_sizes(postings: DataFrame) -> DataFrame:
+    """word, size: bytes of each word's posting list as JSON, from the postings themselves; no list is built."""
+    hit = F.octet_length(F.to_json(F.struct("doc_id", "positions", "hits")))
+    return postings.groupBy("word").agg((F.sum(hit) + F.count(F.lit(1)) + 1).cast("long").alias("size"))
 
 
 def barrels(sizes: DataFrame, limit: int = 45 * 1024 * 1024, block: int = 100_000) -> DataFrame:

@@ -55,13 +55,17 @@ def score() -> Column:
     return F.when(is_html(c("doc_id")), html).otherwise(paper)
 
 
-def lookup(queries: DataFrame, placed: DataFrame, barrels: DataFrame) -> DataFrame:
-    """Postings of the words of ``queries`` from stored barrels. The words' barrels are looked up first (as many rows
-    as the queries have words), so only their folders and row groups are read."""
+def query_words(queries: DataFrame) -> DataFrame:
+    """Every word that ``queries(query)`` may ask for, by either tokenizer."""
     both = F.array_union(T.query_tokens(F.col("query"), True), T.query_tokens(F.col("query"), False))
-    words = queries.select(F.explode(both).alias("word")).distinct()
-    found = placed.join(F.broadcast(words), "word").select("word", "barrel_id").collect()
-    return barrels.where(F.col("barrel_id").isin([r.barrel_id for r in found]) & F.col("word").isin([r.word for r in found]))
+    return queries.select(F.explode(both).alias("word")).distinct()
+
+
+def lookup(queries: DataFrame, placed: DataFrame, barrels: DataFrame) -> DataFrame:
+    """Postings of the words of ``queries`` from stored barrels. Words are looked up with their barrels, and both are
+    joined: partitions of other barrels are pruned while the query runs, whatever the number of queries."""
+    found = query_words(queries).join(placed.select("word", "barrel_id"), "word")
+    return barrels.join(found, ["barrel_id", "word"], "left_semi")
 
 
 def single_word(queries: DataFrame, postings: DataFrame, docs: DataFrame, **ranks: DataFrame | None) -> DataFrame:

@@ -264,10 +264,33 @@ def missing_ids(spark, d):
     return index.missing_ids(ids.where("word_id % 3 <> 0"), ids.agg(F.max("word_id")).first()[0] + 1)
 
 
-@query("barrels")
+def paper_sizes(spark, d):
+    return index.barrel_sizes(both_postings(spark, d)[1])
+
+
+_sizes = f"""WITH RECURSIVE {O.PAPERS}, {O.PAPER_POSTINGS},
+sizes AS (SELECT word, CAST(sum(length('{{"doc_id":"' || doc_id || '","positions":[' || array_to_string(positions, ',') || '],"hits":[' || array_to_string([g1, g2, g3, n_total, doc_len], ',') || ']}}')) + count(*) + 1 AS BIGINT) AS size
+  FROM paper_postings GROUP BY word)"""
+
+
+@query("barrel_sizes", f"{_sizes} SELECT word, size FROM sizes")
+def barrel_sizes(spark, d):
+    return paper_sizes(spark, d)
+
+
+@query(
+    "barrels",
+    f"""{_sizes}, placed AS MATERIALIZED (SELECT word, size, row_number() OVER (ORDER BY word) AS k FROM sizes),
+walk(k, barrel_id, "offset", used) AS (
+  SELECT 0, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT p.k, CASE WHEN used + size >= 262144 THEN barrel_id + 1 ELSE barrel_id END, CASE WHEN used + size >= 262144 THEN 0 ELSE "offset" + 1 END, CASE WHEN used + size >= 262144 THEN size ELSE used + size END
+  FROM walk JOIN placed p ON p.k = walk.k + 1)
+SELECT word, barrel_id, "offset" FROM walk JOIN placed USING (k)""",
+)
 def barrels(spark, d):
-    """Greedy barrels of the paper postings; the packing is sequential, so the tests hold it against a loop."""
-    return index.barrels(index.barrel_sizes(index.posting_lists(both_postings(spark, d)[1])), limit=256 * 1024)
+    """Greedy barrels of the paper postings."""
+    return index.barrels(paper_sizes(spark, d), limit=256 * 1024)
 
 
 @query("even_barrels", f"WITH {O.PAPERS}, {O.PAPER_WORDS}, lex AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM paper_words)) SELECT word, word_id // 5000 AS barrel_id, word_id % 5000 AS \"offset\" FROM lex")
@@ -425,8 +448,10 @@ _search = f"WITH {O.PAGES}, {O.PAPERS}, {O.HTML_POSTINGS}, {O.PAPER_POSTINGS}, {
 
 
 def search_inputs(spark, d) -> tuple[DataFrame, DataFrame, dict]:
+    """Postings of the words asked for: other words of a document are dropped before anything is counted."""
     p, papers_ = pages(spark, d), paper_docs(spark, d)
-    postings = search.all_postings(index.html_postings(p), index.paper_postings(papers_))
+    asked = search.query_words(search_queries(spark))
+    postings = search.all_postings(index.html_postings(p, asked), index.paper_postings(papers_, asked))
     docs = p.select(F.concat(F.lit("H"), F.col("page_id")).alias("doc_id"), F.coalesce("url", F.lit("")).alias("url"), F.lit("").alias("title")).union(papers_.select("doc_id", F.lit(""), "title"))
     ranks = {
         "page_ranks": p.groupBy(F.col("url").alias("key")).agg(F.max(F.col("page_id") % 11).cast("int").alias("score")),

@@ -10,9 +10,12 @@ from pyspark.sql.window import Window
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: later plans start from files that outlive any executor."""
+    """A checkpoint in the shared folder: later plans start from files that outlive any executor. Only a local master
+    gets a folder of its own where none is set; files go with the frames that use them where the session's cleaner is on."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="searchloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

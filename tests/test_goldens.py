@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
 import pytest
 from hypothesis import given, settings
@@ -76,12 +77,33 @@ def test_titles(spark):
 
 def test_urls(spark):
     clean = {"http://a.com/x?page=2&ref=x#top": "http://a.com/x?page=2", "http://a.com/x?b=&a=1&a=2&_ga=3": "http://a.com/x?a=1&a=2", "http://a.com/x?q=a%20b&utm_source=z": "http://a.com/x?q=a+b"}
-    for url, want in clean.items():
-        assert urls.clean_url(url) == want
+    got = one(spark, "a string", [(u,) for u in clean], urls.cleaned(F.col("a")))
+    assert [r[0] for r in got] == list(clean.values())
     resolve = {("http://a.com/fr/825?page=2", "/The"): "http://a.com/The", ("http://a.com/d/e", "../f"): "http://a.com/f", ("http://a.com/d", "//b.org/z"): "http://b.org/z", ("http://a.com/d", "#frag"): "http://a.com/d"}
-    for (base, href), want in resolve.items():
-        assert urls.resolve_url(base, href) == want
-    assert urls.resolve_url("http://a.com", "http://[bad") is None and urls.clean_url(None) is None
+    got = one(spark, "a string, b string", [*resolve, ("http://a.com", "http://[bad"), (None, "/x"), ("http://a.com", None)], urls.resolved(F.col("a"), F.col("b")))
+    assert [r[0] for r in got] == [*resolve.values(), None, None, None]
+
+
+def test_addresses_against_the_standard_library(spark):
+    def clean(url):
+        parts = urlsplit(url)
+        pairs = [(k, v) for k, v in parse_qsl(parts.query) if k[:1] != "_" and k not in urls.TRACKING_KEYS]
+        first = {k: n for n, (k, _) in reversed(list(enumerate(pairs)))}
+        return parts._replace(query=urlencode(sorted(pairs, key=lambda p: first[p[0]])), fragment="").geturl()
+
+    rnd = random.Random(8)
+    step = lambda: rnd.choice(["a", "b.c", "..", ".", "", "d%20e", "f~g", "...", "h;i=1"])
+    pair = lambda: rnd.choice(["a=1", "b=x%2Fy", "a=2", "ref=z", "_g=1", "q=a b", "q=%zz", "e=", "f", "=v", "c=*~", "\u00e9=\u00fc", "a=b=c", "k=1+2", "utm_source=q", "%61=3"])
+    query = lambda: "?" + "&".join(pair() for _ in range(rnd.randrange(0, 5))) if rnd.random() < 0.6 else ""
+    way = lambda: "/".join(step() for _ in range(rnd.randrange(1, 6)))
+    end = lambda: query() + rnd.choice(["", "", "#", "#f?x=1", "#/a"])
+    base = lambda: rnd.choice(["http://a.com", "https://b.org:80", "HTTP://A.com", " http://u@c.d"]) + rnd.choice(["", "/", "/" + way()]) + end()
+    href = lambda: rnd.choice([lambda: way() + end(), lambda: "/" + way() + end(), lambda: "//x.y/" + way() + end(), base, lambda: end(), lambda: rnd.choice(["mailto:a@b.c", "javascript:f()", "data:text/plain,x", ""])])()
+    rows = [(base(), href()) for _ in range(1500)]
+    got = one(spark, "a string, b string", rows, urls.cleaned(F.col("a")), urls.resolved(F.col("a"), F.col("b")))
+    for (a, b), r in zip(rows, got):
+        assert r[0] == clean(a), a
+        assert r[1] == clean(urljoin(a, b)), (a, b)
     rows = [(1, "http://a.com/d", '<a href="#x">self</a><a href="http://[bad">bad</a><a href="/e">e</a>')]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert [tuple(r) for r in links.page_links(pages).collect()] == [("http://a.com/d", "http://a.com/e", "e")]

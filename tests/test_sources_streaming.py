@@ -75,7 +75,7 @@ def test_barrels_prune(spark, tmp_path, sf_dir):
     from searchloom.plans import registry
 
     postings = index.drop_keys(index.html_postings(registry.pages(spark, sf_dir)), index.HTML_HITS)
-    placed = index.barrels(index.barrel_sizes(index.posting_lists(postings)), limit=64 * 1024)
+    placed = index.barrels(index.barrel_sizes(postings), limit=64 * 1024)
     writers.barrels(postings, placed, str(tmp_path / "b"))
     back = readers.barrels(spark, str(tmp_path / "b"))
     assert back.count() == postings.count() and placed.select("barrel_id").distinct().count() > 1
