@@ -31,24 +31,35 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(clean_text(text)), COPYRIGHT_LINE, "\n")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, " ")), F.lit(" "))
+    # two spaces between words: each word has spaces of its own, so neighbours are replaced as well
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, "  ")), F.lit(" "))
     for spelling, usual in SPELLINGS:
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {usual} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(_apart(spelling)), F.lit(_apart(usual)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """license_id, digest of each known text, brought to canonical form by the same functions."""
-    texts = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN])
-    known = spark.range(1).select(F.inline(texts))
+def _apart(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """license_id, digest of each known text, brought to canonical form by the same functions. ``known(license_id, text)``:
+    a caller's own texts instead of the built-in ones."""
+    if known is None:
+        texts = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN])
+        known = spark.range(1).select(F.inline(texts))
     return known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, canonical_sha256, license_id (null if the text is no known licence), is_license."""
+def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, canonical_sha256, license_id (null if the text is no known licence), is_license.
+
+    ``known(license_id, text)``: a table of licence texts of any size in place of the built-in ones; it is broadcast
+    only if its size allows.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(F.col(text_col)), 256).alias("canonical_sha256"))
-    known = known_digests(df.sparkSession).select(F.col("digest").alias("k"), "license_id")
-    return rows.join(F.broadcast(known), F.col("canonical_sha256") == F.col("k"), "left").select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    digests = known_digests(df.sparkSession, known).select(F.col("digest").alias("k"), "license_id")
+    return rows.join(F.broadcast(digests) if known is None else digests, F.col("canonical_sha256") == F.col("k"), "left").select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +71,10 @@ def _oracle() -> str:
 
     def canon(text: str) -> str:
         out = f"regexp_replace(lower(coalesce({text}, '')), '{SQL_COPYRIGHT_LINE}', chr(10), 'g')"
-        out = f"' ' || trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g')) || ' '"
+        out = f"' ' || trim(regexp_replace({out}, '{NOT_WORD}', '  ', 'g')) || ' '"
         for spelling, usual in SPELLINGS:
-            out = f"replace({out}, {quote(f' {spelling} ')}, {quote(f' {usual} ')})"
-        return f"sha256(trim({out}))"
+            out = f"replace({out}, {quote(_apart(spelling))}, {quote(_apart(usual))})"
+        return f"sha256(trim(replace({out}, '  ', ' ')))"
 
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
     return f"""

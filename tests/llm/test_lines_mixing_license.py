@@ -177,6 +177,12 @@ def test_license_scan(spark):
     assert license_scan.license_scan(frame(spark, [])).collect() == []
 
 
+def test_license_table_of_the_caller(spark):
+    own = spark.createDataFrame([("L-1", "Licence licence, sub license organisation"), ("L-2", "other words")], "license_id string, text string")
+    data = [(1, "license LICENSE; sublicense organization", "s"), (2, "Copyright 2020 X\nOther, words", "s"), (3, KNOWN[0][1], "s")]
+    assert sorted((r.doc_id, r.license_id) for r in license_scan.license_scan(frame(spark, data), own).collect()) == [(1, "L-1"), (2, "L-2"), (3, None)]
+
+
 def test_known_licenses_in_other_wrappings(spark):
     ways = [lambda t, w=w: textwrap.fill(" ".join(t.split()), w, break_long_words=False) for w in (20, 40, 60, 72, 79, 10**6)]
     data = [(n * 100 + k, "Copyright 2020 A. Person\nCopyright Some Company\n\n" + way(t), "s") for n, (_, t) in enumerate(KNOWN) for k, way in enumerate(ways)]
