@@ -38,6 +38,17 @@ def forward_lists(forward: DataFrame) -> DataFrame:
     return forward.groupBy("doc_id").agg(F.sort_array(F.collect_list("word_id")).alias("word_ids"))
 
 
+def word_names(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``rows(..., word_id)`` with the lexicon's word in place of its number; unknown numbers give no row."""
+    return rows.join(lexicon.select("word_id", "word"), "word_id").drop("word_id")
+
+
+def first_documents(forward: DataFrame, k: int = 100) -> DataFrame:
+    """word_ids of the first ``k`` documents in the order of their ids: a report. Other documents' rows are dropped before lists are built."""
+    first = forward.select("doc_id").distinct().orderBy("doc_id").limit(k)
+    return forward_lists(forward.join(first, "doc_id", "left_semi"))
+
+
 def merge_forward(*batches: DataFrame) -> DataFrame:
     """Batches of (doc_id, word_ids); a later batch's document replaces an earlier one's."""
     out = batches[0].withColumn("__batch", F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from searchloom.functions import scoring, urls
 from searchloom.functions import text as T
@@ -104,6 +105,13 @@ def multi_word(queries: DataFrame, postings: DataFrame, docs: DataFrame, **ranks
     )
 
 
+def closest_first(results: DataFrame, k: int = 15) -> DataFrame:
+    """Of each query the ``k`` documents with most close matches, and their ``place``: a report. Tasks keep their own
+    best ``k`` of a query before the shuffle."""
+    order = Window.partitionBy("qid").orderBy(F.desc("close_matches"), F.substring("doc_id", 1, 1), number(F.col("doc_id")))
+    return results.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).orderBy("qid", "place")
+
+
 def reduced_search(queries: DataFrame, html: DataFrame) -> DataFrame:
     """qid, doc_id, score by the reduced score, pages only."""
     first = queries.select("qid", F.element_at(T.query_tokens(F.col("query"), False), 1).alias("word"))

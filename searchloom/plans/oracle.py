@@ -152,10 +152,10 @@ trades AS (
   JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE c.c_nationkey <> s.s_nationkey)"""
 
 
-def pagerank(iterations: int) -> str:
-    """Unrolled rounds over ``trades``, from ``r0``."""
+def pagerank(iterations: int, isolated: str = "SELECT n_nationkey FROM nation") -> str:
+    """Unrolled rounds over ``trades``, from ``r0``; ``isolated`` gives nodes that need no edge."""
     parts = [
-        "nodes AS (SELECT DISTINCT node FROM (SELECT src AS node FROM trades UNION ALL SELECT dst FROM trades UNION ALL SELECT n_nationkey FROM nation))",
+        f"nodes AS (SELECT DISTINCT node FROM (SELECT src AS node FROM trades UNION ALL SELECT dst FROM trades UNION ALL {isolated}))",
         "links AS (SELECT src, dst, count(*) / CAST(sum(count(*)) OVER (PARTITION BY src) AS DOUBLE) AS share FROM trades GROUP BY src, dst)",
         "r0 AS (SELECT node, CAST(1 AS DOUBLE) / (SELECT count(*) FROM nodes) AS rank FROM nodes)",
     ]

@@ -11,6 +11,8 @@ from searchloom.functions import scoring, urls
 from searchloom.functions import text as T
 from searchloom.operators import graph, index, lexicon, links, papers, search, stats
 from searchloom.plans import oracle as O
+from searchloom.sources import readers, writers
+from searchloom.tables import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +144,16 @@ def remaining_words(spark, d):
     return lexicon.remaining_words(word_stats(spark, d))
 
 
+#: Counts of words of every kind that the clean-up tells apart: word, occurrences, domains.
+WORD_COUNTS = [("co-op", 10, 2), ("co-op,", 5, 2), ("a-b", 4, 3), ("x_y", 10, 1), ("c++", 5, 2), ("www.q", 50, 5), ("http-x", 50, 5), ("(a-b)", 50, 5), ("long-and-longer", 50, 5), ("plain", 50, 5), (",", 50, 5), ("d,e", 12, 3)]
+_counts = f"pool AS (SELECT * FROM (VALUES {', '.join(f'({O.q(w)}, {f}, {n})' for w, f, n in WORD_COUNTS)}) AS v(word, freq, n_domains) WHERE length(word) <= 10 AND NOT regexp_matches(word, '^[\\p{{L}}\\p{{N}}]+$') AND NOT regexp_matches(word, '^(www|http)|[()]') AND n_domains > 1)"
+
+
+@query("remaining_words_of_counts", f"WITH {_counts} SELECT DISTINCT replace(word, ',', '') AS word FROM pool WHERE word <> ',' AND (freq >= 10 OR freq >= 5 AND n_domains >= 2)")
+def remaining_words_of_counts(spark, d):
+    return lexicon.remaining_words(spark.createDataFrame(WORD_COUNTS, "word string, freq long, n_domains long"))
+
+
 @query("html_lexicon", f"WITH {O.PAGES}, {O.LEXICON} SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM html_lexicon")
 def html_lexicon(spark, d):
     return lexicon.with_ids(lexicon.html_lexicon(word_stats(spark, d)))
@@ -181,6 +193,25 @@ def forward_index_html(spark, d):
     return index.forward_lists(index.forward_index(index.html_doc_words(pages(spark, d)), html_lexicon(spark, d))).select("doc_id", joined("word_ids").alias("word_ids"))
 
 
+_doc_words = f"lex AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM html_lexicon), w AS (SELECT DISTINCT doc_id, unnest(list_transform(toks, lambda x: replace(x, ',', '')) || {O.url_tokens('url')}) AS word FROM docs_h)"
+
+
+def forward_html_ids(spark, d) -> tuple[DataFrame, DataFrame]:
+    lex = html_lexicon(spark, d)
+    return index.forward_index(index.html_doc_words(pages(spark, d)), lex), lex
+
+
+@query("named_words", f"WITH {O.PAGES}, {O.LEXICON}, {_doc_words} SELECT doc_id, word FROM w JOIN lex USING (word)")
+def named_words(spark, d):
+    """The forward index with words in place of their numbers."""
+    return index.word_names(*forward_html_ids(spark, d))
+
+
+@query("first_documents", f"WITH {O.PAGES}, {O.LEXICON}, {_doc_words} SELECT doc_id, array_to_string(list_sort(list(word_id)), ' ') AS word_ids FROM w JOIN lex USING (word) GROUP BY doc_id ORDER BY doc_id LIMIT 100")
+def first_documents(spark, d):
+    return index.first_documents(forward_html_ids(spark, d)[0]).select("doc_id", joined("word_ids").alias("word_ids"))
+
+
 @query(
     "forward_index_papers",
     f"WITH {O.PAPERS}, {O.PAPER_WORDS}, lex AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM paper_words)) SELECT doc_id, array_to_string(list_sort(list(word_id)), ' ') AS word_ids FROM paper_words JOIN lex USING (word) GROUP BY doc_id",
@@ -210,6 +241,25 @@ def inverted_papers(spark, d):
     return index.paper_postings(paper_docs(spark, d)).select("word", "doc_id", joined("positions").alias("positions"), *numbers(*index.PAPER_HITS))
 
 
+#: Which line of a document stands for which section here; the lines from the seventh on are the body.
+SECTION_LINES = {"title": 0, "abstract": 1, "authors": 2, "bib": 3, "ref": 4, "back": 5}
+_pt = lambda *lines: " || ".join(O.paper_tokens(f"l[{k}]") for k in lines)
+
+
+@query(
+    "inverted_paper_sections",
+    f"""WITH s AS (SELECT 'P' || doc_id AS doc_id, {_pt(1, 2, 3)} AS head, {O.paper_tokens("array_to_string(l[7:], chr(10))")} AS body, {_pt(4, 5, 6)} AS tail FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+h AS (SELECT doc_id, len(head) AS a, len(head) + len(body) AS b, len(head) + len(body) + len(tail) AS doc_len, unnest(head || body || tail) AS word, unnest(range(0, len(head) + len(body) + len(tail))) AS pos FROM s)
+SELECT word, doc_id, array_to_string(list(pos ORDER BY pos)[1:15], ' ') AS positions, count(*) FILTER (pos < a) AS g1, count(*) FILTER (pos >= a AND pos < b) AS g2, count(*) FILTER (pos >= b) AS g3, count(*) AS n_total, any_value(doc_len) AS doc_len FROM h GROUP BY word, doc_id""",
+)
+def inverted_paper_sections(spark, d):
+    """Postings of papers that have all their sections."""
+    lines = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("P"), "doc_id").alias("doc_id"), F.split("text", "\n", -1).alias("l"))
+    named = [F.coalesce(F.get("l", F.lit(k)), F.lit("")).alias(name) for name, k in SECTION_LINES.items()]
+    rows = lines.select("doc_id", *named, F.array_join(F.slice("l", 7, F.greatest(F.size("l"), F.lit(1))), "\n").alias("body"))
+    return index.paper_postings(rows).select("word", "doc_id", joined("positions").alias("positions"), *numbers(*index.PAPER_HITS))
+
+
 @query(
     "inverted_html_lexicon",
     f"WITH {O.PAGES}, {O.HTML_POSTINGS}, {O.LEXICON} SELECT word, doc_id, n_total, doc_len FROM html_postings WHERE word IN (SELECT word FROM html_lexicon)",
@@ -340,9 +390,34 @@ def anchor_texts(spark, d):
     return index.anchor_texts(all_links(spark, d))
 
 
-@query("link_errors", "SELECT url, CAST(NULL AS VARCHAR) AS href, 'x' AS error FROM pages WHERE false")
+#: Pages with links and addresses that cannot be read, and the rows that they give.
+BROKEN_PAGES = [(-1, "http://[bad/x", '<a href="/a">a</a>'), (-2, "http://a.com/p", '<a href="http://[::1/y">b</a><a href="/ok">c</a>'), (-3, "http://b]c.org/", "<p>no link</p>"), (-4, "http://d.org/", '<a href="//e]f/g">h</a>')]
+_errors = "('http://[bad/x', '/a'), ('http://a.com/p', 'http://[::1/y'), ('http://b]c.org/', NULL), ('http://d.org/', '//e]f/g')"
+
+
+@query("link_errors", f"SELECT url, href, 'address cannot be parsed' AS error FROM (VALUES {_errors}) AS v(url, href)")
 def link_errors(spark, d):
-    return links.link_errors(pages(spark, d))
+    """All pages, whose addresses are sound, and a few that are not."""
+    p = pages(spark, d).select("page_id", "url", "html")
+    return links.link_errors(p.union(spark.createDataFrame(BROKEN_PAGES, "page_id long, url string, html string")))
+
+
+#: Addresses and what cleaning leaves of them.
+CLEANED = [
+    ("HTTP://a.com/p?x=1#top", "http://a.com/p?x=1"), ("http://a.com/p?x=&y=2", "http://a.com/p?y=2"), ("http://a.com/p?_own=1", "http://a.com/p"), ("http://a.com/?b=1&a=2&b=3", "http://a.com/?b=1&b=3&a=2"),
+    ("http://a.com/p?q=a%20b", "http://a.com/p?q=a+b"), ("http://a.com?x=1", "http://a.com?x=1"), ("/p?x=1", "/p?x=1"), (" http://a.com/p\n", "http://a.com/p"),
+]
+
+
+@query(
+    "cleaned_addresses",
+    f"SELECT a, b FROM (VALUES {', '.join(f'({O.q(a)}, {O.q(b)})' for a, b in CLEANED)}) AS v(a, b) UNION ALL SELECT 'http://a.com/p?' || k || '=1&q=' || n_nationkey || '#f', 'http://a.com/p?q=' || n_nationkey FROM nation, (VALUES {', '.join(f'({O.q(k)})' for k in urls.TRACKING_KEYS)}) AS t(k)",
+)
+def cleaned_addresses(spark, d):
+    """Addresses of every kind, and each nation's with each tracking key."""
+    keys = F.explode(F.array(*[F.lit(k) for k in urls.TRACKING_KEYS])).alias("k")
+    made = table(spark, d, "nation").select("n_nationkey", keys).select(F.concat(F.lit("http://a.com/p?"), "k", F.lit("=1&q="), "n_nationkey", F.lit("#f")).alias("a"))
+    return spark.createDataFrame([(a,) for a, _ in CLEANED], "a string").union(made).select("a", urls.cleaned(F.col("a")).alias("b"))
 
 
 _next = f"SELECT {O.domain('a.url')} AS from_domain, {O.domain('b.url')} AS to_domain FROM pages a JOIN pages b ON b.page_id = a.page_id + 1"
@@ -440,6 +515,18 @@ def encoded_links(spark, d):
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(back("src", "a"), "src").join(back("dst", "b"), "dst").select("a", "b", "n")
 
 
+@query(
+    "page_scores",
+    f"""WITH trades AS (WITH {_links} SELECT from_url AS src, to_url AS dst FROM links), {O.pagerank(5, "SELECT src FROM trades")}, o AS (SELECT node AS url, round(rank, 9) AS rank FROM r5),
+p AS (SELECT *, row_number() OVER (ORDER BY rank DESC, url) - 1 AS place, count(*) OVER () AS n FROM o) SELECT url, rank, CAST(10 - list_max(list_filter(range(0, 10), lambda i: CAST(floor(i * CAST(0.1 AS DOUBLE) * (n - 1)) AS BIGINT) <= place)) AS INTEGER) AS score FROM p""",
+)
+def page_scores(spark, d):
+    """Addresses scored by decile of their rank: numbers for addresses, ranks, addresses for numbers, scores."""
+    nodes, edges = graph.encode(all_links(spark, d), "from_url", "to_url")
+    ranks = graph.decode(graph.pagerank(edges, fixed_iter=5), nodes)
+    return graph.decile_scores(ranks.select(F.col("key").alias("url"), F.round("rank", 9).alias("rank")), "url")
+
+
 # search
 
 SEARCHES = [(1, "the"), (2, "que"), (3, "of the"), (4, "und die"), (5, "unknownword the and"), (6, "the, and the"), (7, "example com"), (8, "nosuchword")]
@@ -471,6 +558,19 @@ def single_word_search(spark, d):
     return search.single_word(search_queries(spark), postings, docs, **ranks)
 
 
+@query("stored_search", ORACLES["single_word_search"])
+def stored_search(spark, d):
+    """The same search over an index of all words that was stored in barrels: the words' barrels are looked up."""
+    _, docs, ranks = search_inputs(spark, d)
+    postings = search.all_postings(index.html_postings(pages(spark, d)), index.paper_postings(paper_docs(spark, d)))
+    path = shared_path(spark, "stored-index")
+    placed = index.even_barrels(lexicon.with_ids(postings.select("word").distinct()), 5000)
+    writers.barrels(postings, placed, path)
+    stored = readers.barrels(spark, path)
+    found = search.lookup(search_queries(spark), stored.select("word", "barrel_id").distinct(), stored)
+    return search.single_word(search_queries(spark), found, docs, **ranks)
+
+
 _hits = f"""{_search}, terms AS (SELECT qid, unnest({O.query_tokens('query', True)}) AS word, unnest(range(0, len({O.query_tokens('query', True)}))) AS term FROM queries),
 hits AS (SELECT * FROM terms JOIN postings USING (word)),
 known AS (SELECT qid, count(DISTINCT term) AS known FROM hits GROUP BY qid),
@@ -490,6 +590,17 @@ def multi_word_search(spark, d):
     return out.select("qid", "doc_id", F.round("combined_score", 6).alias("combined_score"), F.round("avg_word_score", 6).alias("avg_word_score"), *numbers("close_matches", "cluster_range"), "url", joined("positions").alias("positions"))
 
 
+_closest = ORACLES["multi_word_search"]
+_closest = f"{_closest[: _closest.rindex('SELECT qid, doc_id, round')]} SELECT qid, doc_id, close_matches, place FROM (SELECT qid, doc_id, close_matches, row_number() OVER (PARTITION BY qid ORDER BY close_matches DESC, doc_id[1], CAST(doc_id[2:] AS BIGINT)) AS place FROM c) WHERE place <= 15"
+
+
+@query("closest_first", _closest)
+def closest_first(spark, d):
+    """The fifteen documents of each query with most close matches."""
+    postings, docs, ranks = search_inputs(spark, d)
+    return search.closest_first(search.multi_word(search_queries(spark), postings, docs, **ranks)).select("qid", "doc_id", *numbers("close_matches", "place"))
+
+
 @query("matching_documents", f"{_hits} SELECT qid, doc_id FROM full_docs")
 def matching_documents(spark, d):
     return search.matching(search_queries(spark), search_inputs(spark, d)[0], ["doc_id"]).select("qid", "doc_id")
@@ -559,6 +670,58 @@ def size_totals(spark, d):
     return out.select("source", "entries", "bytes", F.round("mean_bytes", 6).alias("mean_bytes"), F.round("part", 9).alias("part"))
 
 
+# sources and sinks: written to the shared folder and read again
+
+
+@query("csv_round_trip", "SELECT c_custkey, c_name || ' \"' || c_mktsegment || '\", x' AS label, c_acctbal FROM customer")
+def csv_round_trip(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit(' "'), "c_mktsegment", F.lit('", x')).alias("label"), "c_acctbal")
+    writers.csv(rows, path := shared_path(spark, "csv"))
+    return readers.csv(spark, path, "c_custkey long, label string, c_acctbal double")
+
+
+@query("edge_csv", "SELECT l_orderkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber <> 2")
+def edge_csv(spark, d):
+    """Edges with spaces around the numbers; a second end that is no number drops its line."""
+    dst = F.when(F.col("l_linenumber") == 2, "none").otherwise(F.concat(F.lit(" "), "l_suppkey", F.lit(" ")))
+    writers.csv(table(spark, d, "lineitem").select(F.concat("l_orderkey", F.lit(" ")).alias("from"), dst.alias("to")), path := shared_path(spark, "edges"))
+    return readers.edges(spark, path)
+
+
+@query("json_map_round_trip", "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS value FROM part")
+def json_map_round_trip(spark, d):
+    writers.json_object(table(spark, d, "part"), "p_partkey", "p_name", path := shared_path(spark, "map"), parts=4)
+    return readers.json_map(spark, path, lines=True)
+
+
+@query("json_lines_round_trip", "SELECT o_orderkey, o_orderpriority FROM orders")
+def json_lines_round_trip(spark, d):
+    writers.json(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), path := shared_path(spark, "lines"))
+    return readers.json_lines(spark, path, "o_orderkey long, o_orderpriority string")
+
+
+@query("word_list_round_trip", f"WITH {O.PAGES}, {O.LEXICON} SELECT word FROM html_lexicon")
+def word_list_round_trip(spark, d):
+    writers.word_list(lexicon.html_lexicon(word_stats(spark, d)), path := shared_path(spark, "words"))
+    return readers.words(spark, path)
+
+
+@query("barrel_round_trip", f"WITH {O.PAGES}, {O.HTML_POSTINGS} SELECT word, doc_id, n_total FROM html_postings")
+def barrel_round_trip(spark, d):
+    """Postings stored in barrels of one size and stored again in barrels of another."""
+    postings = index.html_postings(pages(spark, d))
+    ids = lexicon.with_ids(postings.select("word").distinct())
+    writers.barrels(postings, index.even_barrels(ids, 2000), first := shared_path(spark, "barrels"))
+    writers.barrels(readers.barrels(spark, first).drop("barrel_id", "offset"), index.even_barrels(ids, 5000), second := shared_path(spark, "barrels"))
+    return readers.barrels(spark, second).select("word", "doc_id", *numbers("n_total"))
+
+
+@query("renumbered_files", "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS new_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def renumbered_files(spark, d):
+    files = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"))
+    return readers.renumbered(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), files)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The fifteen best pages for the most frequent word of the pages."""
     postings = index.html_postings(pages(spark, d))

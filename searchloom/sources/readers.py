@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchloom.tables import dense_ids
+
 _SPAN = "array<struct<start:int,end:int,text:string,ref_id:string>>"
 _PARAGRAPHS = f"array<struct<text:string,cite_spans:{_SPAN},ref_spans:{_SPAN},section:string>>"
 _NAME = "first:string,middle:array<string>,last:string,suffix:string"
@@ -48,9 +50,9 @@ def papers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return out, parsed.where(bad).select("file", F.col("value").alias("record"))
 
 
-def json_map(spark: SparkSession, path: str, value_type: str = "string") -> DataFrame:
-    """key, value of one JSON object."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{value_type}>")))
+def json_map(spark: SparkSession, path: str, value_type: str = "string", lines: bool = False) -> DataFrame:
+    """key, value of one JSON object a file; with ``lines`` one a line, as the sink writes them, read in splits."""
+    return spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", f"map<string,{value_type}>")))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -81,6 +83,16 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("page_id long, url string, html string").parquet(path)
 
 
+def words(spark: SparkSession, path: str) -> DataFrame:
+    """word of a list of one a line."""
+    return spark.read.text(path).select(F.col("value").alias("word"))
+
+
 def present(ids: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of ``ids(id)`` whose file is there."""
     return ids.join(files.select(F.col("page_id").cast("string").alias("f")), F.col("id").cast("string") == F.col("f"), "left_semi")
+
+
+def renumbered(ids: DataFrame, files: DataFrame) -> DataFrame:
+    """``ids(id)`` whose file is there, with ``new_id``: dense numbers in the order of the ids."""
+    return dense_ids(present(ids, files), [F.col("id")], "new_id")

@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: later plans start from files that outlive any executor. Only a local master
-    gets a folder of its own where none is set; files go with the frames that use them where the session's cleaner is on."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local master gets a folder of its own where none is set."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="searchloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder: later plans start from files that outlive any executor. Files go with the
+    frames that use them where the session's cleaner is on."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
