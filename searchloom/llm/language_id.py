@@ -40,7 +40,7 @@ LONG_WORD = 64
 #: Characters of a text that are cut into words at a time.
 SECTION = 1 << 20
 #: Entries and bytes of a worker's table of words that it has scored; it is emptied when full. Longer parts aren't entered.
-TABLE_ENTRIES, TABLE_BYTES, LONGEST_KEPT = 400_000, 32 << 20, 64
+TABLE_ENTRIES, TABLE_BYTES, LONGEST_KEPT = 100_000, 32 << 20, 64
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HASH_BASE, HASH_MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 HASH_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
