@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a hash-compared suffix sort.
+"""Removal of repeated byte strings by a suffix sort.
 
 A byte goes if a string of ``length`` bytes that covers it also starts earlier (in a document of a smaller
 id, or in the same one). Strings of that length are windows; each window has an anchor, its k-gram of least
@@ -10,9 +10,9 @@ small sort for each anchor value:
    are combined in the task: all but the earliest go. What remains is dealt by anchor hash, packed as arrays.
 2. By anchor hash. An anchor met once settles its run. Classes are combined again. If an anchor still has
    several classes, their bytes are asked for - only those runs.
-3. Suffix sort. Windows of the classes of an anchor are sorted by mergesort. Two suffixes are compared by a
-   binary search on prefix polynomial hashes for their common extension, which is then verified byte by byte,
-   and by the next byte: a hash collision changes neither the order nor what is removed.
+3. Suffix sort. Windows of the classes of an anchor are sorted by mergesort, their bytes compared eight at a time.
+   Windows whose three quarters about the anchor are met in no other class have no equal and are not sorted; that is
+   told by polynomial hashes, whose collisions only add to what is sorted.
 4. The spans found are joined to the texts.
 
 So polynomial hashes only deal and speed up; strings count as equal by their bytes, or by equal 128-bit BLAKE2
@@ -57,7 +57,7 @@ class Limits:
     section_bytes: int = 1 << 21  #: windows of a long text hashed at a time
     bucket_bytes: int = 4 << 20  #: estimated input bytes for each bucket
     least_buckets: int = 64
-    hash_bits: int = 64  #: of the polynomial hashes that deal and that speed up comparisons; fewer mean more collisions
+    hash_bits: int = 64  #: of the polynomial hashes that deal and that choose what is sorted; fewer mean more collisions
 
 
 RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("p", "<i4"), ("tk", "<i4"), ("a", "u1"), ("b", "u1"), ("hot", "u1")])
@@ -345,42 +345,33 @@ def _answer(length: int, buckets: int, sorts: int):
 
 
 class SuffixOrder:
-    """Suffixes of a buffer, compared over at most ``length`` bytes through prefix hashes."""
+    """Suffixes of a buffer, compared over at most ``length`` bytes, eight at a time; prefix hashes of parts of it."""
 
     def __init__(self, buffer: np.ndarray, length: int, bits: int = 64):
-        self.buffer, self.length, self.drop = buffer, length, np.uint64(64 - bits)
+        self.length, self.drop = length, np.uint64(64 - bits)
         self.big = prefix_hashes(buffer)
         self.down = powers(len(buffer))[1]
+        # the eight bytes from each place on, as a number: numbers are ordered as the bytes are
+        padded = np.concatenate([buffer, np.zeros(7, np.uint8)])
+        self.words = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8")[:, 0].astype(np.uint64)
 
-    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the common extension of suffixes x and y, by binary search on hashes."""
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length, np.int64)
-        big, dx, dy = self.big, self.down[x], self.down[y]
-        hx, hy = big[x], big[y]
-        while True:
-            todo = low < high
-            if not todo.any():
-                return self._verified(x, y, low)
-            mid = (low + high + 1) >> 1
-            same = (big[x + mid] - hx) * dx >> self.drop == (big[y + mid] - hy) * dy >> self.drop
-            low = np.where(todo & same, mid, low)
-            high = np.where(todo & ~same, mid - 1, high)
-
-    def _verified(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The extensions up to the first byte that differs: ``n`` unless hashes collided."""
-        step, out = np.arange(self.length), n.copy()
-        for i in range(0, len(x), 20_000):
-            own = slice(i, i + 20_000)
-            other = self.buffer[x[own, None] + step] != self.buffer[y[own, None] + step]
-            out[own] = np.where(other.any(1), other.argmax(1), self.length)
-        return out
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes begin:end."""
+        return (self.big[end] - self.big[begin]) * self.down[begin] >> self.drop
 
     def less(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(x < y, x == y) over ``length`` bytes."""
-        n = self.common(x, y)
-        equal = n == self.length
-        k = np.minimum(n, self.length - 1)
-        return ~equal & (self.buffer[x + k] < self.buffer[y + k]), equal
+        less, equal = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        open_ = np.arange(len(x))  # equal so far
+        for k in range(0, self.length, 8):
+            rest = np.uint64(8 * max(0, k + 8 - self.length))  # bits past the last byte
+            u, v = self.words[x[open_] + k] >> rest, self.words[y[open_] + k] >> rest
+            less[open_] = u < v
+            open_ = open_[u == v]
+            if not len(open_):
+                break
+        equal[open_] = True
+        return less, equal
 
     def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
         """An order of the suffixes ``at`` that sorts each group (equal, adjacent values) and is stable: bottom-up mergesort, all groups at once."""
@@ -424,16 +415,21 @@ def repeated_windows(rows: np.ndarray, length: int, bits: int = 64) -> np.ndarra
     row = np.repeat(np.arange(len(rows)), n)
     off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     place = rows["a"].astype(np.int64)[row] - off  # of the anchor in the window: equal windows have it equal
-    # windows by anchor value and place, in the order of (document, start)
-    by = np.lexsort((row, place, rows["h"][row]))
-    row, off, place = row[by], off[by], place[by]
-    h = rows["h"][row]
-    group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (place[1:] != place[:-1])])
     at = row * (2 * length) + off
+    # Windows of neighbouring places of the anchor share all bytes but a quarter. Equal windows have equal such cores: where
+    # a core isn't met again nothing is sorted. Hashes that collide only add to what is sorted.
     order = SuffixOrder(buffer, length, bits)
+    step = max(1, length // 4)
+    core = at + place % step
+    key = mix(order.hashes(core, core + (length - step + 1)) + mix(rows["h"][row] + place.astype(np.uint64)))
+    by = np.argsort(key, kind="stable")  # in the order of (document, start) where equal
+    group = np.cumsum(np.r_[False, key[by][1:] != key[by][:-1]])
+    again = np.bincount(group)[group] > 1
+    by, group = by[again], group[again]
+    row, off, at = row[by], off[by], at[by]
     sort = order.sort(at, group)
     x, y = at[sort[:-1]], at[sort[1:]]
-    equal = np.flatnonzero((group[sort[:-1]] == group[sort[1:]]) & (order.common(x, y) == length))
+    equal = np.flatnonzero((group[sort[:-1]] == group[sort[1:]]) & order.less(x, y)[1])
     later = sort[1:][equal]
     r = rows[row[later]]
     s = r["p"] - r["a"] + off[later]

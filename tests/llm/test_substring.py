@@ -38,6 +38,28 @@ def test_suffix_order():
         assert sd.SuffixOrder(buffer, 100, bits).sort(at, group).tolist() == want
 
 
+def test_only_neighbourhoods_met_again_are_sorted(monkeypatch):
+    """Runs that share their anchor by chance and no more are not sorted; of the others every repeated window is found."""
+    sorted_windows, sort = [], sd.SuffixOrder.sort
+    monkeypatch.setattr(sd.SuffixOrder, "sort", lambda self, at, group: sorted_windows.append(len(at)) or sort(self, at, group))
+    piece = sd._answer(100, 1, 1)[1]
+    rng = np.random.default_rng(6)
+
+    def runs(texts):
+        rows = np.zeros(len(texts), piece)
+        rows["h"], rows["doc"], rows["a"], rows["p"], rows["text"] = 5, np.arange(len(texts)), 76, 76, [np.void(t) for t in texts]
+        return rows  # windows 0..76, with the anchor at byte 76 of the text
+
+    chance = [rng.bytes(76) + b"k" * 24 + rng.bytes(100) for _ in range(300)]
+    assert len(sd.repeated_windows(runs(chance), 100)) == 0
+    assert sorted_windows == [0]
+    copies = [chance[7][:40] + chance[8][40:], chance[9][:50] + b"#" + chance[9][51:], chance[9][:120] + b"#" + chance[9][121:]]
+    for bits in (64, 8, 1):  # collisions only add to what is sorted
+        out = [tuple(map(int, s)) for s in sd.repeated_windows(runs(chance + copies), 100, bits)]
+        assert out == [(300, 0, 40, 176), (301, 0, 51, 176), (302, 0, 0, 120)]
+    assert sorted_windows[1] < 77 * 303 / 50
+
+
 def test_runs_cover_all_windows():
     rnd = random.Random(4)
     docs = [bytes(rnd.choice(b"abcd ") for _ in range(n)) for n in (100, 101, 350, 2000)] + [b"a" * 500, b"ab" * 400]
