@@ -39,7 +39,8 @@ from searchloom.llm.tokenizer import resolve
 LONG_WORD = 64
 #: Characters of a text that are cut into words at a time.
 SECTION = 1 << 20
-#: Entries and bytes of a worker's table of words that it has scored; it is emptied when full. Longer parts aren't entered.
+#: Entries and bytes of a worker's table of words that it has scored; when full it is set aside, in place of the one set aside
+#: before, and words in that are taken over as they are met. Longer words aren't entered.
 TABLE_ENTRIES, TABLE_BYTES, LONGEST_KEPT = 100_000, 32 << 20, 64
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HASH_BASE, HASH_MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
@@ -92,13 +93,19 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         at = ((h * HASH_MIX) >> self.shift).astype(np.int64)
-        out = np.where(self.keys[at] == h, self.ids[at], self.n)
-        for d in range(1, self.depth + 1):
-            left = np.flatnonzero((out == self.n) & (self.keys[at + (d - 1)] != 0))
+        key = self.keys[at]
+        out = np.where(key == h, self.ids[at], self.n)
+        left = np.flatnonzero((key != h) & (key != 0))
+        at, h = at[left], h[left]
+        for _ in range(self.depth):
             if not len(left):
                 break
-            near = at[left] + d
-            out[left] = np.where(self.keys[near] == h[left], self.ids[near], self.n)
+            at = at + 1
+            key = self.keys[at]
+            same = key == h
+            out[left[same]] = self.ids[at[same]]
+            on = ~same & (key != 0)
+            left, at, h = left[on], at[on], h[on]
         return out
 
     def lattice(self, letters: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -236,11 +243,12 @@ class Model:
         self._start()
 
     def _start(self) -> None:
-        width = len(self.langs) + 1
+        width = max(1, len(self.langs))
         self.together = together(self.p)
         self.capacity = max(1000, min(TABLE_ENTRIES, TABLE_BYTES // (8 * width)))
         self.row: dict[str, int] = {}
-        self.table = np.zeros((0, width))
+        self.table = np.zeros((0, len(self.langs)))
+        self.aside = self.row, self.table
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
@@ -257,53 +265,40 @@ class Model:
                 out[k] = along(begins, ends, np.log(self.p[ids]), len(w))[-1]
         return out
 
-    def _learn(self, parts: set[str]) -> None:
-        """Enter parts of text between white space: the sum of their words' scores, and how many words."""
-        parts = list(parts)
-        words = [words_of(p) for p in parts]
-        distinct = list({w for ws in words for w in ws})
-        at = {w: k for k, w in enumerate(distinct)}
-        scores = self.word_scores(distinct) if distinct else np.zeros((0, len(self.langs)))
-        new = np.zeros((len(parts), len(self.langs) + 1))
-        for k, ws in enumerate(words):
-            if len(ws) == 1:
-                new[k, :-1] = scores[at[ws[0]]]
-            elif ws:
-                new[k, :-1] = scores[[at[w] for w in ws]].sum(0)
-            new[k, -1] = len(ws)
-        begin = len(self.row)
-        self.row.update(zip(parts, range(begin, begin + len(parts))))
-        if begin + len(parts) > len(self.table):
-            grown = np.zeros((max(begin + len(parts), 2 * len(self.table)), new.shape[1]))
-            grown[:begin] = self.table[:begin]
-            self.table = grown
-        self.table[begin : begin + len(parts)] = new
-
     def _enter(self, texts: list[str]) -> list[list[str]]:
-        """The parts of some texts between white space, all but very long ones entered in the table."""
-        cut = [t.split() for t in texts]
-        every = {p for p in set().union(*cut) if len(p) <= LONGEST_KEPT}
+        """The words of some texts, all but very long ones entered in the table with their scores."""
+        cut = [words_of(t) for t in texts]
+        every = {w for w in set().union(*cut) if len(w) <= LONGEST_KEPT}
         new = every.difference(self.row)
         if new and len(self.row) + len(new) > self.capacity:
-            self._start()
+            self.aside = self.row, self.table
+            self.row, self.table = {}, self.table[:0]
             new = every
         if new:
-            self._learn(new)
+            known, scores = self.aside
+            met = [w for w in new if w in known]
+            unmet = list(new.difference(known))
+            begin, middle, end = len(self.row), len(self.row) + len(met), len(self.row) + len(new)
+            if end > len(self.table):
+                grown = np.zeros((max(end, 2 * len(self.table)), len(self.langs)))
+                grown[:begin] = self.table[:begin]
+                self.table = grown
+            self.table[begin:middle] = scores[[known[w] for w in met]]
+            self.table[middle:end] = self.word_scores(unmet)
+            self.row.update(zip(met + unmet, range(begin, end)))
         return cut
 
-    def _sum(self, parts: list[str]) -> np.ndarray:
-        """Sum of the scores of the words of parts, and how many words."""
+    def _sum(self, words: list[str]) -> np.ndarray:
+        """Sum of the scores of words, and how many they are."""
         out = np.zeros(len(self.langs) + 1)
-        odd = [p for p in parts if len(p) > LONGEST_KEPT]
-        for p in odd:
-            ws = words_of(p)
-            if ws:
-                out[:-1] += self.word_scores(ws).sum(0)
-                out[-1] += len(ws)
+        out[-1] = len(words)
+        kept = words
+        odd = [w for w in words if len(w) > LONGEST_KEPT]
         if odd:
-            parts = [p for p in parts if len(p) <= LONGEST_KEPT]
-        if parts:
-            out += self.table[np.fromiter(map(self.row.__getitem__, parts), np.int64, len(parts))].sum(0)
+            out[:-1] += self.word_scores(odd).sum(0)
+            kept = [w for w in words if len(w) <= LONGEST_KEPT]
+        if kept:
+            out[:-1] += self.table[np.fromiter(map(self.row.__getitem__, kept), np.int64, len(kept))].sum(0)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -311,8 +306,8 @@ class Model:
             return ["und"] * len(texts), np.zeros(len(texts))
         sums = np.zeros((len(texts), len(self.langs) + 1))
         short = [k for k, t in enumerate(texts) if t and len(t) <= SECTION]
-        for k, parts in zip(short, self._enter([texts[k] for k in short])):  # their words are scored together
-            sums[k] = self._sum(parts)
+        for k, words in zip(short, self._enter([texts[k] for k in short])):  # their words are scored together
+            sums[k] = self._sum(words)
         for k, t in enumerate(texts):
             if t and len(t) > SECTION:
                 for section in sections(t):

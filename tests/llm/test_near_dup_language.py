@@ -256,6 +256,26 @@ def test_long_words(tiny):
     assert model.predict([text, "the thing", "the " + "n" * 500])[0] == [model.predict([x])[0][0] for x in (text, "the thing", "the " + "n" * 500)]
 
 
+def test_words_are_scored_once(tiny):
+    """Words that come again are not scored again: in other cases and signs, and when the table has been full."""
+    p = np.vstack([np.random.default_rng(8).random((len(tiny[1]), 2)) * 0.01, np.zeros(2)])
+    model, scored = language_id.Model(["a", "b"], p, tiny[0]), []
+    model.capacity, plain = 1000, model.word_scores
+    model.word_scores = lambda words: scored.extend(words) or plain(words)
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    common = [name(k) for k in range(300)]
+    for b in range(8):
+        own = [name(1000 + 400 * b + k) for k in range(400)]
+        texts = [" ".join(common + own), ", ".join(w.title() for w in common + own) + ".", "(" + "-".join(common) + ")", "n" * 70]
+        lang, score = model.predict(texts)
+        for t, one, s in zip(texts, lang, score):
+            logs = plain(language_id.words_of(t)).sum(0)
+            assert one == "ab"[logs.argmax()] and math.isclose(s, 1 / np.exp(logs - logs.max()).sum())
+    short = [w for w in scored if len(w) < 70]
+    assert sorted(short) == sorted(common + [name(1000 + k) for k in range(3200)])
+    assert len(model.row) + len(model.aside[0]) <= 2000
+
+
 def test_marks_and_ties(spark, tiny):
     assert language_id.words_of("\u0e17\u0e35\u0e48 \u0915\u093f e\u0301 a-b9c") == ["\u0e17\u0e35\u0e48", "\u0915\u093f", "e\u0301", "a", "b", "c"]
     p = np.vstack([np.full((len(tiny[1]), 3), 0.001), np.zeros(3)])
