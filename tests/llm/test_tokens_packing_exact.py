@@ -48,6 +48,29 @@ def test_parts_of_all_letters():
         assert enc.ids(t).tolist() == want.ids
 
 
+def test_latin_words_by_model():
+    """Words of ASCII and Latin-1 letters need no normaliser; all others go through the library whole."""
+    enc = tok.Encoder("word_bpe_49k.json")
+    whole, sent = enc._words, []
+    enc._words = lambda words: sent.extend(words) or whole(words)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    text = " ".join([f"{a}{b}" for a in letters for b in letters] + ["Straße", "ÉTÉ,", "ÀÉÎõü", "µm", "ΣΟΦΟΣ", "e\u0301t", "ÿĀ"])
+    assert enc.ids(text).tolist() == ids(text)
+    assert set(sent) <= {"ΣΟΦΟΣ", "ÿĀ"}
+
+
+def test_full_table_is_drawn_from(monkeypatch):
+    """Words met again and again are encoded once, however often the table fills."""
+    monkeypatch.setattr(tok, "TABLE_ENTRIES", 60)
+    enc, sent = tok.Encoder("word_bpe_49k.json"), []
+    for name in [n for n in ("_words", "_latin_words") if hasattr(enc, n)]:
+        monkeypatch.setattr(enc, name, lambda words, own=getattr(enc, name): sent.extend(words) or own(words))
+    for k in range(40):
+        text = f"common, words Again und wieder. {' '.join('n' + 'abcdefghij'[k % 10] * (j + 1) + 'xyzw'[k // 10] for j in range(9))}"
+        assert enc.ids(text).tolist() == ids(text)
+    assert sent.count("common") == sent.count("again") == 1 and len(enc.table) <= 60 + 30
+
+
 def test_documents_as_the_library(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()
     enc = tok.Encoder("word_bpe_49k.json")
