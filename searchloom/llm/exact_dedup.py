@@ -35,16 +35,25 @@ def _normal(text: Column) -> Column:
     return F.regexp_replace(clean_text(text), ASCII_SPACE, " ")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. ``digest`` deals the texts; any function will do."""
-    scratch = Scratch(df.sparkSession, "exact-dedup")
-    rows = df.select(F.col(id_col).alias("doc_id"), _normal(F.col(text_col)).alias("t")).withColumn("digest", digest(F.col("t")))
+def _rows(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    return df.select(F.col(id_col).alias("doc_id"), _normal(F.col(text_col)).alias("t")).withColumn("digest", digest(F.col("t")))
+
+
+def _groups(rows: DataFrame, salts: int) -> DataFrame:
+    """digest, t, keep_id, group_size of every distinct text."""
     salted = (
         rows.withColumn("salt", F.spark_partition_id() % salts)
         .groupBy("digest", "t", "salt")
         .agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("c"))
     )
-    groups = salted.groupBy("digest", "t").agg(F.min("m").alias("keep_id"), F.sum("c").alias("group_size"))
+    return salted.groupBy("digest", "t").agg(F.min("m").alias("keep_id"), F.sum("c").alias("group_size"))
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. ``digest`` deals the texts; any function will do."""
+    scratch = Scratch(df.sparkSession, "exact-dedup")
+    rows = _rows(df, id_col, text_col, digest)
+    groups = _groups(rows, salts)
     groups = scratch.write(groups.select("digest", _sha256(F.col("t")).alias("sha"), "keep_id", "group_size"), "groups")
     shared = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select(F.col("digest").alias("x_digest"))
     shared = scratch.write(shared, "shared-digests")
@@ -61,14 +70,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return out
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one row of each group of equal texts. Of rows that share the kept id
-    and the text, one stays; they are combined in each scan task before they move."""
-    keep = exact_dedup(df, id_col, text_col, **options).where("kept").select("doc_id", "text_sha256").distinct()
-    sha, k_id, k_sha = unused(df, "text_sha", "keep_id", "keep_sha")
-    keep = keep.select(F.col("doc_id").alias(k_id), F.col("text_sha256").alias(k_sha))
-    rows = df.withColumn(sha, _sha256(_normal(F.col(text_col)))).dropDuplicates([id_col, sha])
-    return rows.join(keep, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(sha) == F.col(k_sha)), "left_semi").select(*df.columns)
+    and the text, one stays; they are combined in each scan task before they move.
+
+    The groups name the rows that stay, so the result of ``exact_dedup`` is not needed: nothing is written, and id and digest
+    are one key, which deals the rows once for both steps."""
+    key, k_key = unused(df, "copy_key", "keep_key")
+    of = lambda sha, i: F.concat(sha, F.coalesce(F.concat(F.lit(":"), i.cast("string")), F.lit("")))  # noqa: E731 - no id: no colon
+    keep = _groups(_rows(df, id_col, text_col, digest), salts).select(of(_sha256(F.col("t")), F.col("keep_id")).alias(k_key))
+    rows = df.withColumn(key, of(_sha256(_normal(F.col(text_col))), F.col(id_col))).dropDuplicates([key])
+    return rows.join(keep, F.col(key) == F.col(k_key), "left_semi").select(*df.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

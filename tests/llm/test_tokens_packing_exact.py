@@ -170,3 +170,13 @@ def test_exact_dedup(spark):
     clash = df.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("text_sha", "keep_id", "keep_sha", "sha", "digest")])
     assert exact_dedup.drop_copies(clash).columns == clash.columns and exact_dedup.drop_copies(clash).count() == len(set(left))
     assert exact_dedup.exact_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_drop_copies_writes_nothing(spark, monkeypatch):
+    """The rows that stay follow from the groups: no scratch table, and the rows move once."""
+    written = []
+    monkeypatch.setattr(exact_dedup.Scratch, "write", lambda self, df, name: written.append(name) or df)
+    df = spark.createDataFrame(rows(["a  b", "a b", None, "", "c"]) + [(0, "a b", "en", "s", 0, "x", "y", 1), (None, "c", "en", "s", 0, "x", "y", 1), (None, "d", "en", "s", 0, "x", "y", 1)], SCHEMA)
+    kept = exact_dedup.drop_copies(df)
+    assert sorted(((r.doc_id, (r.text or "").split()) for r in kept.collect()), key=str) == [(0, ["a", "b"]), (2, []), (4, ["c"]), (None, ["d"])]
+    assert written == []
