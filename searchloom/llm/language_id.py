@@ -32,6 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchloom.llm import workers
 from searchloom.llm.common import Scratch, unused
 from searchloom.llm.tokenizer import resolve
 
@@ -218,14 +219,13 @@ def encoded(word: str) -> bytes:
     return (" " + word).encode("utf-8", "surrogatepass")
 
 
-_pieces: dict[str, Pieces] = {}
+#: The step's name among what a worker keeps.
+STEP = "language_id"
 
 
 def pieces(vocabulary: str) -> Pieces:
     """One vocabulary per worker process."""
-    if vocabulary not in _pieces:
-        _pieces[vocabulary] = Pieces(vocabulary)
-    return _pieces[vocabulary]
+    return workers.kept(STEP, vocabulary, lambda: Pieces(vocabulary))
 
 
 class Model:
@@ -343,6 +343,7 @@ def fit(
     sample = rows.where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin(STEP)
         for b in batches:
             seen: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -350,6 +351,7 @@ def fit(
                     seen.update((lang, w) for w in words_of(part))
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+        workers.give_back()
 
     scratch = Scratch(spark, "language-id")
     words = scratch.write(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
@@ -378,19 +380,13 @@ def fit(
     return Model(langs, p, vocabulary)
 
 
-_models: dict[str, Model] = {}
-
-
 def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A column function text -> struct(lang_pred, score)."""
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
     key = uuid.uuid4().hex
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = pickle.loads(sent.value)
-        own = _models[key]
+        own = workers.kept(STEP, Model, lambda: pickle.loads(sent.value), key)  # one model at a time
         for texts in batches:
             texts = [t if isinstance(t, str) else None for t in texts]
             lang, score = [], []
@@ -399,6 +395,7 @@ def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
                 lang += a
                 score += b.tolist()
             yield pd.DataFrame({"lang_pred": lang, "score": score})
+        workers.give_back()
 
     return F.pandas_udf(predict, "lang_pred string, score double")
 

@@ -32,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchloom.llm import workers
 from searchloom.llm.common import Scratch, clean_text, connected_components, unused
 from searchloom.llm.hashing import mix, shingle_sets
 
+#: The step's name among what a worker keeps.
+STEP = "near_dup"
 ROWS = 5
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-6
@@ -76,6 +79,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin(STEP)
         for b in batches:
             for begin, sets in shingle_sets((t.as_py() for t in b.column(1)), width):
                 n = np.array([len(s) for s in sets], np.int64)
@@ -90,15 +94,18 @@ def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     [b.column(0).slice(begin, len(sets)), pa.array(n), pa.array(d1), pa.array(d2), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
                     ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"],
                 )
+        workers.give_back()
 
     return docs.mapInArrow(features, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin(STEP)
         for b in batches:
             for begin, own in shingle_sets((t.as_py() for t in b.column(1)), width):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(own)), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], ["id", "shingles"])
+        workers.give_back()
 
     return docs.mapInArrow(sets, "id long, shingles array<long>")
 

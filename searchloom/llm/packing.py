@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm import tokenizer as tok
+from searchloom.llm import workers
 from searchloom.llm.common import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,6 +47,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col
             cols = list(zip(*out)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        workers.give_back()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(cut, PIECES)
 

@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from searchloom.llm import workers
+
 #: Parts in a worker's table. A full one is set aside and drawn from until the next one is full.
 TABLE_ENTRIES = 400_000
 #: Longer parts are encoded each time and not kept.
@@ -188,14 +190,9 @@ class Encoder:
         return np.frombuffer(self.raw(text), "<u4")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(tokenizer: str) -> Encoder:
     """One encoder per worker process and file."""
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = Encoder(tokenizer)
-    return _encoders[tokenizer]
+    return workers.kept("tokenizer", tokenizer, lambda: Encoder(tokenizer))
 
 
 def version_digest(tokenizer: str) -> str:
