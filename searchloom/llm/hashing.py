@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from searchloom.llm import workers
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A 64-bit value for each byte, so that small alphabets fill the hash's range.
@@ -16,6 +18,13 @@ BYTE_VALUE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint6
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _let_go() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+workers.at_change.append(_let_go)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i up to n, modulo 2**64."""
     if len(_powers[0]) <= n:

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 _step = ""
 _things: dict[Hashable, tuple[Hashable, Any]] = {}
+#: What modules do with tables of their own when a worker goes over to another step.
+at_change: list[Callable[[], None]] = []
 
 
 def give_back() -> None:
@@ -32,9 +34,11 @@ def begin(step: str) -> None:
     global _step
     if step == _step:
         return
-    _step = step
-    if _things:
-        _things.clear()
+    before, _step = _step, step
+    _things.clear()
+    for let_go in at_change:
+        let_go()
+    if before:
         give_back()
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from searchloom.llm import language_id, near_dup
+from searchloom.llm import hashing, language_id, near_dup
 from searchloom.llm import tokenizer as tok
 
 VOCABULARY = tok.resolve("byte_bpe_multi_50k.tiktoken")
@@ -29,9 +29,11 @@ def test_another_step_lets_go():
     assert encoder() is tok.encoder("word_bpe_49k.json")
     assert [r["n_shingles"] for r in near_dup._features(Direct(), 5, 35, 5)] == [2, 0]
     assert encoder() is None
+    assert len(hashing.powers(70_000)[0]) == 70_001
     pieces = weakref.ref(language_id.pieces(VOCABULARY))
     assert [len(r["shingles"]) for r in near_dup._sets(Direct(), 5)] == [2, 0]
     assert pieces() is None
+    assert len(hashing.powers(1)[0]) == 1 << 16  # the long tables went
 
 
 def _held(batches):
